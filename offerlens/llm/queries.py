@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+import public_tokenizers
+
+from . import lines, mixing, quality, simhash, token_counts
+from .storage import kept, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,36 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("q")[c].alias(c) for c in counts), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    new = lines.without_recurring(docs, extra=True)
+    return new.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: every document is inserted, later exact copies are deleted, and counts are revised
+    where white space is normalised; the second batch is sent twice."""
+    version = "byte_bpe_multi_50k"
+    counter = token_counts.byte_bpe_counter(public_tokenizers.path(f"{version}.tiktoken"), public_tokenizers.PATTERN)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.sha2("text", 256).alias("sha"), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("clean"))
+    counted = kept(token_counts.with_token_counts(docs, counter, ("text", "clean"), ("doc_id", "source", "lang", "sha")), "token-counts")
+    first = kept(counted.filter("sha is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "token-first")
+    copies = counted.join(first, "sha").filter("doc_id > first")
+    rest = counted.join(first, "sha").filter("doc_id = first")
+    one, n = F.lit(1), F.col("text_tokens")
+    rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
+    rollup.commit("inserted", token_counts.deltas(counted, version, one, n))
+    for _ in range(2):
+        rollup.commit("deleted", token_counts.deltas(copies, version, -one, -n))
+    rollup.commit("revised", token_counts.deltas(rest, version, F.lit(0), F.col("clean_tokens") - n))
+    return rollup.totals()
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op5_mixing, op7_line_dedup, op8_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_mixing": mixing.SQL, "op7_line_dedup": lines.SQL}
