@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import lines, mixing, quality, simhash, token_counts
+from . import bpe, embeddings, lines, mixing, quality, simhash, substring, token_counts, token_files, urls
 from .storage import kept, new_path
 
 
@@ -25,11 +25,24 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col("q")[c].alias(c) for c in counts), "kept")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     new = lines.without_recurring(docs, extra=True)
@@ -55,6 +68,26 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op5_mixing, op7_line_dedup, op8_token_counts)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, token_files.word_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read_tokens(spark, path).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files)}
+
+EMBEDDINGS_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id < b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+e as materialized (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(c, vec_id)) component_id, vec_id = least(vec_id, coalesce(c, vec_id)) kept
+from embeddings left join (select a, count(*) n from e group by 1) n on n.a = vec_id left join (select a, min(b) c from r group by 1) r on r.a = vec_id"""
 
-ORACLES = {"op5_mixing": mixing.SQL, "op7_line_dedup": lines.SQL}
+ORACLES = {"op3_embeddings": EMBEDDINGS_SQL, "op5_mixing": mixing.SQL, "op6_urls": urls.SQL, "op7_line_dedup": lines.SQL}
