@@ -1 +1,6 @@
 """Named queries over the test tables, each with its SQL twin."""
+
+from . import relational  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
