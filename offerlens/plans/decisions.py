@@ -176,12 +176,12 @@ def financing_options(t: Tables) -> DataFrame:
     return o.select("o_orderkey", "opt", "amount", "cost", "rank_order")
 
 
-@query("""select l_partkey, base::double base, round(base * 1.13 / 0.8::double, 4) bid, round(base * 0.5, 2)::double gap from (select l_partkey, min(l_extendedprice)::decimal(18,2) base from lineitem group by 1)""")
+@query("""select l_partkey, base::double base, round(base * 1.4125, 2)::double bid, round(base * 0.5, 2)::double gap from (select l_partkey, min(l_extendedprice)::decimal(18,2) base from lineitem group by 1)""")
 def economics_summary(t: Tables, reserves: str = "1.13", margin: float = 0.2, days: int = 45) -> DataFrame:
     base = F.col("base")
     cost = t.lineitem.groupBy("l_partkey").agg(F.min("l_extendedprice").cast("decimal(18,2)").alias("base"))
-    bid = (base * dec(reserves)).cast("double") / max(1 - margin, 0.01)
-    return cost.select("l_partkey", base.cast("double").alias("base"), F.round(bid, 4).alias("bid"), F.round(base * dec(str(min(days / 90, 1.5))), 2).cast("double").alias("gap"))
+    factor = str(round(Decimal(reserves) / Decimal(str(max(1 - margin, 0.01))), 6).normalize())
+    return cost.select("l_partkey", base.cast("double").alias("base"), F.round(base * dec(factor), 2).cast("double").alias("bid"), F.round(base * dec(str(min(days / 90, 1.5))), 2).cast("double").alias("gap"))
 
 
 @query("select r_name, y, round(n * (1 + 0.1::double * y), 2) forecast from (select r_name, count(*) n from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1) cross join (values (1), (3), (5)) v(y)")

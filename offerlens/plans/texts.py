@@ -92,7 +92,7 @@ def json_pick_first(t: Tables) -> DataFrame:
 @query("""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) w from documents),
  f as (select doc_id, ('0x' || substr(sha256(w), 1, 8))::bigint % 256 bucket, (case when ('0x' || substr(sha256(w), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * (1 + least(length(w), 24) / 24.0::double) weight from tok
   union all select doc_id, ('0x' || substr(sha256(substr(w, 1, 6)), 1, 8))::bigint % 256, (case when ('0x' || substr(sha256(substr(w, 1, 6)), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * 0.5::double from tok where length(w) >= 6)
- select doc_id, bucket, round(sum(weight::decimal(18,6))::double, 4) + 0.0::double weight from f group by 1, 2""")
+ select doc_id, bucket, round(sum(weight::decimal(18,6)), 4)::double + 0.0::double weight from f group by 1, 2""")
 def embed_hashing(t: Tables) -> DataFrame:
     """Signed feature hashing of tokens and six-character prefixes, in sparse form."""
     w = F.col("w")
@@ -102,7 +102,7 @@ def embed_hashing(t: Tables) -> DataFrame:
     tok = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), 0)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     both = F.array_compact(F.array(feature(w, 1 + F.least(F.length(w), F.lit(24)) / 24.0), F.when(F.length(w) >= 6, feature(F.substring(w, 1, 6), F.lit(0.5)))))
     parts = tok.select("doc_id", "n", F.inline(both))
-    return parts.groupBy("doc_id", "bucket").agg(F.round(F.sum(F.col("weight") * F.col("n")).cast("double"), 4).alias("weight"))
+    return parts.groupBy("doc_id", "bucket").agg(F.round(F.sum(F.col("weight") * F.col("n")), 4).cast("double").alias("weight"))
 
 
 @query("""with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 100 = 0), s as (select qid, vec_id, list_cosine_similarity(q, embedding::double[]) c from q cross join embeddings where vec_id <> qid)
