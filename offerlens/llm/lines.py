@@ -13,13 +13,15 @@ ANY = "<*>"
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
-    """(doc_id, content, i, leaf, tokens): a row for each line with a word. Tokens with a digit are variable fields at once;
-    a line's leaf of the tree is its number of tokens with its first `depth` tokens. `content` tells texts apart."""
+    """(doc_id, content, i, leaf, line): a row for each line with a word, as its tokens joined by spaces. Tokens with a digit
+    are variable fields at once; a line's leaf of the tree is its number of tokens with its first `depth` tokens. `content`
+    tells texts apart."""
     line = F.posexplode(F.split(F.col("text"), "\n"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text")).select("doc_id", "content", line.alias("i", "line"))
     tokens = F.transform(words(F.col("line")), lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
     rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "content", "i", tokens.alias("tokens"))
-    return rows.select("doc_id", "content", "i", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth)).alias("leaf"), "tokens")
+    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))
+    return rows.select("doc_id", "content", "i", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("line"))
 
 
 def recurring(lines: DataFrame, min_docs: int = 10, fixed: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -30,16 +32,16 @@ def recurring(lines: DataFrame, min_docs: int = 10, fixed: float = 0.6) -> tuple
     fixed tokens is no template. One recurs if min_docs different texts have it, so copies of one text count once.
     """
     common = kept(lines.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"), "line-leaves")
-    some = kept(lines.join(common, "leaf", "left_semi"), "line-candidates")
-    alike = some.groupBy("leaf", "tokens").agg(F.count("*").alias("n"))
-    alike = kept(alike, "line-shapes")
+    some = kept(lines.join(common.hint("merge"), "leaf", "left_semi"), "line-candidates")
+    alike = some.groupBy("leaf", "line").agg(F.count("*").alias("n"))
+    alike = kept(alike.withColumn("tokens", F.split("line", " ")), "line-shapes")
     at = alike.select("leaf", "n", F.posexplode("tokens").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("n").alias("n"))
     stays = at.filter((F.col("n") >= min_docs) & (F.col("t") != ANY)).select("leaf", "p", "t")
-    placed = alike.select("leaf", "tokens", F.posexplode("tokens").alias("p", "t")).join(stays, ["leaf", "p", "t"])
-    keep = placed.groupBy("leaf", "tokens").agg(F.collect_set("p").alias("keep"))
+    placed = alike.select("leaf", "line", F.posexplode("tokens").alias("p", "t")).join(stays, ["leaf", "p", "t"])
+    keep = placed.groupBy("leaf", "line").agg(F.collect_set("p").alias("keep")).withColumn("tokens", F.split("line", " "))
     template = F.transform("tokens", lambda t, p: F.when(F.array_contains("keep", p), t).otherwise(F.lit(ANY)))
-    named = keep.filter(F.size("keep") >= F.size("tokens") * fixed).select("leaf", "tokens", F.concat_ws(" ", template).alias("template"))
-    rows = kept(some.join(named, ["leaf", "tokens"]).select("doc_id", "content", "i", "template"), "line-templates")
+    named = keep.filter(F.size("keep") >= F.size("tokens") * fixed).select("leaf", "line", F.concat_ws(" ", template).alias("template"))
+    rows = kept(some.join(named, ["leaf", "line"]).select("doc_id", "content", "i", "template"), "line-templates")
     texts = rows.groupBy("template", "content").agg(F.min("doc_id").alias("doc_id"))
     found = texts.groupBy("template").agg(F.count("*").alias("n_texts"), F.min("doc_id").alias("first_doc")).filter(F.col("n_texts") >= min_docs)
     return rows, kept(found, "line-recurring")
@@ -62,7 +64,7 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = kept(dropped(docs, id_col, text_col, **options), "line-drops").toDF("__id", "__content", "__drop")
     text = F.col(text_col)
     same = docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__content"])
-    joined = docs.join(gone, same, "left")
+    joined = docs.join(gone.hint("merge"), same, "left")
     lines = F.split(text, "\n")
     new = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
     n = lambda a: F.when(a.isNull(), 0).otherwise(F.size(a)).cast("long")

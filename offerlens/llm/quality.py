@@ -192,6 +192,7 @@ def passing(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), **options
     named = lambda df: df.select(*df.columns, *(F.col(at[k]).alias(f"__by_{k}") for k in by))
     keys = tuple(f"__by_{k}" for k in by)
     counted = with_counts(named(plain), at["text"])
-    stats = kept(counted.filter("not q.base_failed").select(*keys, *(f"q.{s}" for s in STATS)), "quality-counts")
+    # written before it is filtered: a filter would be pushed down and count every text twice
+    stats = kept(counted.select(*keys, "q"), "quality-counts").filter("not q.base_failed").select(*keys, *(f"q.{s}" for s in STATS))
     fitted = kept(fit(stats, keys, **options), "quality-estimates")
     return verdicts(counted, fitted, keys, cutoff).filter("kept").select(*plain.columns).toDF(*docs.columns)
