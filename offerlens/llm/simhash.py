@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,23 +22,59 @@ CHUNK = 1 << 15
 BLOCK = 1 << 21
 
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(LOWER).split()
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """For hashes of shape (n, parts): how many have each bit set, (parts, 64). Bits are added up in the bytes of a long, 255
+    hashes at most at a time."""
+    n, parts = h.shape
+    lanes = (h[:, None, :] >> np.arange(8, dtype=np.uint64)[:, None]) & np.uint64(0x0101010101010101)
+    sums = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0)
+    return sums.view(np.uint8).reshape(-1, 8, parts, 8).sum(axis=0, dtype=np.int64).transpose(1, 2, 0).reshape(parts, 64)
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 if it has no word."""
-    words = (text or "").encode().translate(LOWER).split()
+    """64-bit SimHash of a text's word shingles, repeats included, by their XXH64; 0 if it has no word."""
+    words = _words(text)
     if not words:
         return 0
     if len(words) < shingle:
         grams: Iterator[bytes] = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    count, ones = 0, np.zeros(64, np.int64)
-    while len(h := np.fromiter(map(partial(xxh64_intdigest, seed=seed), islice(grams, CHUNK)), np.uint64)):
+    hashes, count, ones = map(xxh64_intdigest, grams, repeat(seed)), 0, np.zeros((1, 64), np.int64)
+    while len(h := np.fromiter(islice(hashes, CHUNK), np.uint64)):
         count += len(h)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h[:, None])
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def signature(text: str | None, parts: int, shingle: int = 5) -> np.ndarray:
+    """A SimHash of 64 * parts bits of a text's word shingles, repeats included; zeros if it has no word. A shingle's hash is a
+    polynomial of its words' hashes, mixed anew for each part."""
+    words = _words(text)
+    if not words:
+        return np.zeros(parts, np.uint64)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(w) - shingle + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(w))):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    ones = np.zeros((parts, 64), np.int64)
+    salts = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
+    for i in range(0, n, CHUNK):
+        ones += _ones(_mixed(h[i : i + CHUNK, None] + salts))
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).reshape(parts)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -160,17 +195,18 @@ def _shard_links(k: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, k: int = 2, shard_rows: int = 8192, sample_rows: int = 1 << 14) -> DataFrame:
+def link_fingerprints(fps: DataFrame, k: int = 2, shard_rows: int = 8192, sample_rows: int = 1 << 20) -> DataFrame:
     """(fp, component): every distinct value of fps.fp, with the smallest (as a signed long) reachable over links of at most k bits.
 
-    The top of the tree is fitted on a bounded sample (at most `sample_rows` values, those of least hash) and sent to the
-    tasks; it has at most sample_rows / 16 shards. Every value lives in one shard and visits those whose border it is near.
+    The top of the tree is fitted on a bounded sample (32 values a shard, at most `sample_rows`, those of least hash) and
+    sent to the tasks. Every value lives in one shard and visits those whose border it is near.
     A shard walks its own tree and returns a spanning forest of its links, not the links.
     """
     fps = fps.select("fp").filter("fp is not null").distinct()
     total = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows if total > shard_rows else 0).collect()], np.int64).view(np.uint64)
     shards = max(1, -(-total // shard_rows))
+    size = min(sample_rows, max(1 << 14, 32 * shards)) if shards > 1 else 0
+    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
     tree = Tree(sample, max(16, len(sample) // shards), k)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +235,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id names their group, one row each, with the columns of docs. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(groups, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+#: 64-bit parts of the long fingerprints; each gives two words of 32 bits.
+PARTS = 6
+
+
+def _names(parts: int) -> list[str]:
+    return [f"s{i}" for i in range(parts)]
+
+
+def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, parts: int = PARTS) -> DataFrame:
+    """(doc_id, s0, s1, ...): one row a document, its long fingerprint as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sig = np.array([signature(t, parts, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(x) for x in np.ascontiguousarray(sig.T))], ["doc_id", *_names(parts)])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in _names(parts))]))
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of texts differ on average whose shingle sets have this Jaccard similarity."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def link_signatures(sigs: DataFrame, similarity: float = 0.8, k: int = 2, parts: int = PARTS, shard_rows: int = 8192) -> DataFrame:
+    """(a, b): a spanning forest, shard by shard, of the links between rows of sigs (low: long, s0, s1, ...).
+
+    Long fingerprints are cut into words of 32 bits. Two rows link if some word differs in at most k bits and the long
+    fingerprints in no more than texts of this similarity do. A vantage-point tree of 32-bit words, fitted on a bounded sample,
+    deals each word to its shard, and as a visitor to the shards whose border it is near; words at the same position meet. A
+    single 64-bit fingerprint would need a radius of a dozen bits here, at which triangle bounds prune nothing.
+    """
+    names, most = _names(parts), differing_bits(similarity, 64 * parts)
+    total = sigs.count()
+    shards = max(1, -(-total // shard_rows))
+    size = min(1 << 20, max(1 << 14, 32 * shards)) if shards > 1 else 0
+    sample = np.array([r.s0 for r in sigs.select("s0").orderBy(F.xxhash64("s0"), "s0").limit(size).collect()], np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
+    tree = Tree(sample, max(16, len(sample) // shards), k)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
+            words = np.ascontiguousarray(sig).view(np.uint32)
+            for w in range(2 * parts):
+                at, shard, home = tree.route(words[:, w].astype(np.uint64))
+                rows = b.take(pa.array(at))
+                yield pa.record_batch([pa.array((shard * 2 * parts + w).astype(np.int32)), pa.array(home), *(rows.column(c) for c in ("low", *names))], ["shard", "home", "low", *names])
+
+    def links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        sig = np.ascontiguousarray(t[names].to_numpy())
+        low, own = t["low"].to_numpy(), np.nonzero(t["home"].to_numpy())[0]
+        word = np.ascontiguousarray(sig.view(np.uint32)[:, int(key[0]) % (2 * parts)]).astype(np.uint64)
+        bits = sig.view(np.uint64)
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for q, p in close_pairs(word[own], word, k):
+                for i in range(0, len(q), 1 << 16):
+                    a, b = q[i : i + (1 << 16)], own[p[i : i + (1 << 16)]]
+                    near = (a != b) & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most)
+                    yield a[near], b[near]
+
+        root = forest(len(t), found())
+        tied = np.nonzero(root != np.arange(len(t)))[0]
+        return pd.DataFrame({"a": low[tied], "b": low[root[tied]]})
+
+    schema = ", ".join(["shard int", "home boolean", "low long", *(f"{c} long" for c in names)])
+    return sigs.select("low", *names).mapInArrow(route, schema).groupBy("shard").applyInPandas(links, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The documents whose id is the smallest of their group, one row each, with the columns of docs.
+
+    A group is what links of link_signatures reach. Null and empty texts are one group. Rows with a null id stay and take no
+    part. Of rows that repeat an id one stays, any of them. An empty table gives an empty result. Texts are shuffled once, to
+    meet the ids that stay; they are not sorted.
+    """
+    names = _names(PARTS)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = f"c{docs.columns.index(id_col)}"
+    sigs = kept(with_signatures(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "signatures")
+    first = kept(sigs.groupBy(*names).agg(F.min("doc_id").alias("low")), "distinct-signatures")
+    groups = components(link_signatures(first, similarity)).toDF("low", "component")
+    firsts = first.join(groups, "low", "left").filter(F.coalesce("component", "low") == F.col("low")).select(F.col("low").alias("__id"))
+    times = sigs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    stay = kept(firsts.distinct().join(times, "__id"), "group-firsts")
+    met = plain.join(stay.hint("shuffle_hash"), F.col(own).cast("long") == F.col("__id"))
+    once = met.filter("__n = 1").select(*plain.columns)
+    again = met.filter("__n > 1").select(*plain.columns).dropDuplicates([own])
+    return once.union(again).union(plain.filter(F.col(own).isNull())).toDF(*docs.columns)
