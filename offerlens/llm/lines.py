@@ -62,14 +62,16 @@ def without_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated rows fare alike; an empty table gives an empty result; documents with a null id are never a template's first.
     """
     gone = kept(dropped(docs, id_col, text_col, **options), "line-drops").toDF("__id", "__content", "__drop")
-    text = F.col(text_col)
-    same = docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__content"])
-    joined = docs.join(gone.hint("merge"), same, "left")
+    # own names for the columns of docs, which may be called anything
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain, text = docs.toDF(*at.values()), F.col(at[text_col])
+    same = plain[at[id_col]].eqNullSafe(gone["__id"]) & (F.xxhash64(text) == gone["__content"])
+    joined = plain.join(gone.hint("merge"), same, "left")
     lines = F.split(text, "\n")
     new = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n"))
     n = lambda a: F.when(a.isNull(), 0).otherwise(F.size(a)).cast("long")
     more = [n(lines).alias("n_lines"), n(F.col("__drop")).alias("n_dropped")] if extra else []
-    return joined.select(*(new.alias(c) if c == text_col else F.col(c) for c in docs.columns), *more)
+    return joined.select(*((new if c == text_col else F.col(own)).alias(c) for c, own in at.items()), *more)
 
 
 SQL = r"""

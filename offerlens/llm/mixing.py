@@ -95,11 +95,13 @@ def repeated(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The documents as often as the mix takes them, with the columns of docs. Texts are not shuffled."""
     rows = kept(sized(docs, seed=seed), "mix-sizes")
     p = plan(rows, **options).select(F.col("source").alias("__source"), "source_size", "target", "whole", "below")
-    hashed = docs.withColumn("__h", doc_hash(F.col("doc_id"), seed))
-    joined = hashed.join(p.withColumnsRenamed({c: f"__{c}" for c in ("source_size", "target", "whole", "below")}), hashed["source"].eqNullSafe(F.col("__source")))
-    extra = (F.col("__h") < F.col("__below")) & (F.col("__whole") * F.col("__source_size") < F.col("__target"))
-    copies = (F.col("__whole") + extra.cast("long")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    # own names for the columns of docs, which may be called anything
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    hashed = docs.toDF(*at.values()).withColumn("__h", doc_hash(F.col(at["doc_id"]), seed))
+    joined = hashed.join(p, F.col(at["source"]).eqNullSafe(F.col("__source")))
+    extra = (F.col("__h") < F.col("below")) & (F.col("whole") * F.col("source_size") < F.col("target"))
+    copies = (F.col("whole") + extra.cast("long")).cast("int")
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*at.values()).toDF(*docs.columns)
 
 
 SQL = r"""
