@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ from .text import slices
 #: of one value of any size in the file's table of escapes. Selector 1 is a run of zeros.
 PACKS = ((1, 60), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS, BITS = (np.array(x, np.int64) for x in zip(*PACKS, strict=True))
+#: Widths that selectors have, with 64 for escapes; the largest value of each; the widths of all small values.
+WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64], np.uint8)
+LIMITS = np.array([(1 << int(b)) - 1 for b in WIDTHS], np.uint64)
+SMALL = WIDTHS[np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64))]
 BLOCK = 1024
 #: Ids after which a file image is closed, at the next end of a document.
 IMAGE = 1 << 20
@@ -33,9 +39,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
     width = np.zeros((blocks, BLOCK + 128), np.uint8)
     bits = np.zeros(blocks * BLOCK, np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 64):
-        bits[:n][(v >> np.uint64(0 if b == 1 else last)) > 0] = b
-        last = b
+    bits[:n] = WIDTHS[np.searchsorted(LIMITS, v, side="left")] if v.max() >= len(SMALL) else SMALL[v.astype(np.int64)]
     width[:, :BLOCK] = bits.reshape(blocks, BLOCK)
     flat = width.reshape(-1)
     longest = {1: flat}
@@ -109,31 +113,77 @@ def from_image(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), unpack(w, offsets, e, n)
 
 
-def word_tokenizer(path: str) -> Callable[[], Callable[[list[str | None]], Iterator[array]]]:
-    """An encoder for write_tokens over a tokenizers file that drops white space: words are encoded by the library, each
-    distinct one once while it is remembered. ASCII white space ends every piece there, so a text's ids are its words' ids."""
+#: Words of which the number of the tokenizer's pieces is known: letters are one, signs behind them another. Apostrophes start
+#: pieces that hold letters, and signs or letters beyond Latin-1 may change when they are normalised; such words are no match.
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
 
-    def make():
-        import re
 
-        from tokenizers import Tokenizer
-
-        tokenizer, seen, split = Tokenizer.from_file(path), {}, re.compile(r"[^\x20\x09-\x0D]+")
+class WordEncoder:
+    """Ids of texts under a tokenizers file that drops white space and ends every piece with a token of its suffix.
 
-        def encode(texts: list[str | None]) -> Iterator[array]:
-            if len(seen) > 1 << 18:
-                seen.clear()
-            parts = [split.findall(t or "") for t in texts]
-            new = list({w for p in parts for w in p if w not in seen})
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                seen.update(zip(part, (e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            for p in parts:
-                yield array("I", chain.from_iterable(map(seen.__getitem__, p)))
+    ASCII white space ends every piece there, so a text's ids are its words' ids. The library encodes each distinct word once
+    while it is remembered: simple words joined by spaces, as their last tokens tell them apart, other words one by one.
+    """
 
-        return encode
+    def __init__(self, path: str, remembered: int = 1 << 19, suffix: str = "</w>"):
+        # tasks are the unit of parallel work; threads of the library's own would only compete with them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return make
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        #: by a word's code: where its ids start in `ids`, and how many they are
+        self.codes: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _joined(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.nonzero(self.is_last[ids])[0]
+        if len(ends) != pieces.sum():
+            raise ValueError("the tokenizer cuts words otherwise than by letters and signs")
+        return ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=-1)
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = b" ".join(new).decode().split(" ") if new else []
+        found = [SIMPLE.fullmatch(w) for w in words]
+        simple, other = (np.array([i for i, m in enumerate(found) if bool(m) == is_simple], np.int64) for is_simple in (True, False))
+        parts, sizes = [self.ids], np.zeros(len(words), np.int64)
+        for at in np.array_split(simple, len(simple) // 4096 + 1):
+            if len(at):
+                ids, sizes[at] = self._joined([words[i] for i in at], np.array([1 + bool(found[i][1]) for i in at]))
+                parts.append(ids)
+        for at in np.array_split(other, len(other) // 4096 + 1):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in at], add_special_tokens=False)]
+            sizes[at] = [len(x) for x in own]
+            parts.append(np.fromiter(chain.from_iterable(own), np.uint32))
+        order = np.concatenate([simple, other])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        self.ids, self.starts, self.sizes = np.concatenate(parts), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; none for null."""
+        if len(self.codes) > self.remembered:
+            self._forget()
+        words = [t.split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+        lengths, known = np.fromiter(map(len, words), np.int64, len(words)), len(self.codes)
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        self._learn(list(islice(self.codes, known, None)))
+        n = self.sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.starts[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return (ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def word_tokenizer(path: str) -> Callable[[], WordEncoder]:
+    """An encoder for write_tokens, made once in each task from a tokenizers file that drops white space."""
+    return lambda: WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -146,22 +196,22 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, seq = encoder(), TaskContext.get().partitionId(), 0
-        ids, lengths, values = [], [], array("I")
+        ids, lengths, values, total = [], [], [], 0
+        end = np.array([] if end_id is None else [end_id], np.uint32)
 
         def row() -> pa.RecordBatch:
-            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(values)], pa.int64())]
-            return pa.record_batch([*cols, pa.array([image(np.array(lengths), np.frombuffer(values, np.uint32))], pa.binary())], ["shard", "seq", "doc_ids", "n_ids", "image"])
+            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([total], pa.int64())]
+            return pa.record_batch([*cols, pa.array([image(np.array(lengths), np.concatenate(values))], pa.binary())], ["shard", "seq", "doc_ids", "n_ids", "image"])
 
         for b in slices(batches):
-            for i, own in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
-                values.extend(own)
-                if end_id is not None:
-                    values.append(end_id)
+            for i, own in zip(b.column("doc_id").to_pylist(), encode(b.column("text")), strict=True):
+                values += own, end
                 ids.append(i)
-                lengths.append(len(own) + (end_id is not None))
-                if len(values) >= IMAGE:
+                lengths.append(len(own) + len(end))
+                total += lengths[-1]
+                if total >= IMAGE:
                     yield row()
-                    ids, lengths, values, seq = [], [], array("I"), seq + 1
+                    ids, lengths, values, total, seq = [], [], [], 0, seq + 1
         if ids:
             yield row()
 
