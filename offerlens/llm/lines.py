@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import kept
@@ -12,16 +12,20 @@ from .text import words
 ANY = "<*>"
 
 
+def fields(tokens: Column) -> Column:
+    """The tokens, with a variable field for each that has a digit."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
+
+
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3) -> DataFrame:
-    """(doc_id, content, i, leaf, line): a row for each line with a word, as its tokens joined by spaces. Tokens with a digit
-    are variable fields at once; a line's leaf of the tree is its number of tokens with its first `depth` tokens. `content`
-    tells texts apart."""
+    """(doc_id, content, i, leaf, line): a row for each line with a word. A line's leaf of the tree is its number of tokens with
+    its first `depth` tokens, variable fields among them; the rest is parsed when the leaf is known to hold enough lines.
+    `content` tells texts apart."""
     line = F.posexplode(F.split(F.col("text"), "\n"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text")).select("doc_id", "content", line.alias("i", "line"))
-    tokens = F.transform(words(F.col("line")), lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))
-    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "content", "i", tokens.alias("tokens"))
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, depth))
-    return rows.select("doc_id", "content", "i", leaf.alias("leaf"), F.concat_ws(" ", "tokens").alias("line"))
+    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "content", "i", "line", words(F.col("line")).alias("tokens"))
+    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), fields(F.slice("tokens", 1, depth)))
+    return rows.select("doc_id", "content", "i", leaf.alias("leaf"), "line")
 
 
 def recurring(lines: DataFrame, min_docs: int = 10, fixed: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +36,8 @@ def recurring(lines: DataFrame, min_docs: int = 10, fixed: float = 0.6) -> tuple
     fixed tokens is no template. One recurs if min_docs different texts have it, so copies of one text count once.
     """
     common = kept(lines.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"), "line-leaves")
-    some = kept(lines.join(common.hint("merge"), "leaf", "left_semi"), "line-candidates")
+    some = lines.join(common.hint("merge"), "leaf", "left_semi")
+    some = kept(some.withColumn("line", F.concat_ws(" ", fields(words(F.col("line"))))), "line-candidates")
     alike = some.groupBy("leaf", "line").agg(F.count("*").alias("n"))
     alike = kept(alike.withColumn("tokens", F.split("line", " ")), "line-shapes")
     at = alike.select("leaf", "n", F.posexplode("tokens").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.sum("n").alias("n"))
