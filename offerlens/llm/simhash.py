@@ -59,22 +59,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signature(text: str | None, parts: int, shingle: int = 5) -> np.ndarray:
-    """A SimHash of 64 * parts bits of a text's word shingles, repeats included; zeros if it has no word. A shingle's hash is a
-    polynomial of its words' hashes, mixed anew for each part."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The set of a text's word shingles as sorted hashes, polynomials of their words' hashes; none if it has no word."""
     words = _words(text)
     if not words:
-        return np.zeros(parts, np.uint64)
+        return np.zeros(0, np.uint64)
     w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - shingle + 1)
     h = np.zeros(n, np.uint64)
     for i in range(min(shingle, len(w))):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return np.unique(h)
+
+
+def _signed(h: np.ndarray, parts: int) -> np.ndarray:
     ones = np.zeros((parts, 64), np.int64)
     salts = np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB)
-    for i in range(0, n, CHUNK):
+    for i in range(0, len(h), CHUNK):
         ones += _ones(_mixed(h[i : i + CHUNK, None] + salts))
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).reshape(parts)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64).reshape(parts)
+
+
+def signature(text: str | None, parts: int, shingle: int = 5) -> np.ndarray:
+    """A SimHash of 64 * parts bits of a text's set of word shingles, each mixed anew for each part; zeros if it has no word."""
+    return _signed(shingle_hashes(text, shingle), parts)
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -243,16 +251,24 @@ def _names(parts: int) -> list[str]:
     return [f"s{i}" for i in range(parts)]
 
 
+#: What tells shingle sets apart: their size and two sums of hashes.
+SET = ("n", "d0", "d1")
+
+
 def with_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, parts: int = PARTS) -> DataFrame:
-    """(doc_id, s0, s1, ...): one row a document, its long fingerprint as signed longs."""
+    """(doc_id, n, d0, d1, s0, s1, ...): one row a document, its shingle set's size and sums and its long fingerprint as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sig = np.array([signature(t, parts, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(x) for x in np.ascontiguousarray(sig.T))], ["doc_id", *_names(parts)])
+            rows = np.empty((b.num_rows, len(SET) + parts), np.uint64)
+            for i, t in enumerate(b.column("text").to_pylist()):
+                h = shingle_hashes(t, shingle)
+                rows[i, :3] = len(h), _mixed(h).sum(dtype=np.uint64), _mixed(h ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
+                rows[i, 3:] = _signed(h, parts)
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(x) for x in np.ascontiguousarray(rows.view(np.int64).T))], ["doc_id", *SET, *_names(parts)])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in _names(parts))]))
+    return narrow.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in (*SET, *_names(parts)))]))
 
 
 def differing_bits(similarity: float, bits: int) -> int:
@@ -260,16 +276,23 @@ def differing_bits(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def link_signatures(sigs: DataFrame, similarity: float = 0.8, k: int = 2, parts: int = PARTS, shard_rows: int = 8192) -> DataFrame:
-    """(a, b): a spanning forest, shard by shard, of the links between rows of sigs (low: long, s0, s1, ...).
+def _keyed(sigs: DataFrame, parts: int) -> DataFrame:
+    """(key, low, component) from sigs (low, component, s0, ...): a row for each word of 32 bits, with its position above it."""
 
-    Long fingerprints are cut into words of 32 bits. Two rows link if some word differs in at most k bits and the long
-    fingerprints in no more than texts of this similarity do. A vantage-point tree of 32-bit words, fitted on a bounded sample,
-    deals each word to its shard, and as a visitor to the shards whose border it is near; words at the same position meet. A
-    single 64-bit fingerprint would need a radius of a dozen bits here, at which triangle bounds prune nothing.
-    """
-    names, most = _names(parts), differing_bits(similarity, 64 * parts)
-    total = sigs.count()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in _names(parts)], 1)
+            words = np.ascontiguousarray(sig).view(np.uint32)
+            for w in range(2 * parts):
+                yield pa.record_batch([pa.array(words[:, w].astype(np.int64) | (w << 32)), b.column("low"), b.column("component")], ["key", "low", "component"])
+
+    return sigs.select("low", "component", *_names(parts)).mapInArrow(run, "key long, low long, component long")
+
+
+def _word_links(values: DataFrame, sigs: DataFrame, total: int, k: int, parts: int, shard_rows: int) -> DataFrame:
+    """(x, y): pairs of keys at the same position whose words differ in at most k bits, unless all their rows are of one
+    component already. values: (key, c0, c1), every key once with the least and greatest component of its rows, so that a
+    shard's frame holds a word once however many rows share it."""
     shards = max(1, -(-total // shard_rows))
     size = min(1 << 20, max(1 << 14, 32 * shards)) if shards > 1 else 0
     sample = np.array([r.s0 for r in sigs.select("s0").orderBy(F.xxhash64("s0"), "s0").limit(size).collect()], np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
@@ -277,47 +300,93 @@ def link_signatures(sigs: DataFrame, similarity: float = 0.8, k: int = 2, parts:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], 1)
-            words = np.ascontiguousarray(sig).view(np.uint32)
-            for w in range(2 * parts):
-                at, shard, home = tree.route(words[:, w].astype(np.uint64))
-                rows = b.take(pa.array(at))
-                yield pa.record_batch([pa.array((shard * 2 * parts + w).astype(np.int32)), pa.array(home), *(rows.column(c) for c in ("low", *names))], ["shard", "home", "low", *names])
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            at, shard, home = tree.route((key & 0xFFFFFFFF).astype(np.uint64))
+            rows = b.take(pa.array(at))
+            yield pa.record_batch([pa.array((shard * 2 * parts + (key[at] >> 32)).astype(np.int32)), pa.array(home), *(rows.column(c) for c in ("key", "c0", "c1"))], ["shard", "home", "key", "c0", "c1"])
+
+    def links(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        key, c0, c1, own = t["key"].to_numpy(), t["c0"].to_numpy(), t["c1"].to_numpy(), np.nonzero(t["home"].to_numpy())[0]
+        word = (key & 0xFFFFFFFF).astype(np.uint64)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, p in close_pairs(word[own], word, k):
+            p = own[p]
+            open_ = (key[q] != key[p]) & ((c0[q] != c1[p]) | (c1[q] != c0[p]))
+            x.append(np.minimum(key[q], key[p])[open_])
+            y.append(np.maximum(key[q], key[p])[open_])
+        return pd.DataFrame({"x": np.concatenate(x), "y": np.concatenate(y)})
+
+    routed = values.mapInArrow(route, "shard int, home boolean, key long, c0 long, c1 long")
+    near = routed.groupBy("shard").applyInPandas(links, "x long, y long")
+    return near.union(values.filter("c0 <> c1").select("key", "key")).toDF("x", "y").distinct()
+
+
+def _within(pairs: DataFrame, sigs: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """The pairs (a, b) whose long fingerprints and set sizes leave the similarity open."""
+    names, most = _names(parts), differing_bits(similarity, 64 * parts)
+    side = lambda c: sigs.select(F.col("low").alias(c), F.col("n").alias(f"{c}_n"), *(F.col(s).alias(f"{c}_{s}") for s in names))
+    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in names[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter((differ <= most) & (small >= large * similarity)).select("a", "b")
 
-    def links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        sig = np.ascontiguousarray(t[names].to_numpy())
-        low, own = t["low"].to_numpy(), np.nonzero(t["home"].to_numpy())[0]
-        word = np.ascontiguousarray(sig.view(np.uint32)[:, int(key[0]) % (2 * parts)]).astype(np.uint64)
-        bits = sig.view(np.uint64)
 
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for q, p in close_pairs(word[own], word, k):
-                for i in range(0, len(q), 1 << 16):
-                    a, b = q[i : i + (1 << 16)], own[p[i : i + (1 << 16)]]
-                    near = (a != b) & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= most)
-                    yield a[near], b[near]
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of ids of docs (doc_id, text) whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+    ids = kept(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "candidates")
+    sets = kept(docs.join(ids.hint("shuffle_hash"), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>"), "shingle-sets")
+    met = pairs.join(sets.toDF("a", "a_grams"), "a").join(sets.toDF("b", "b_grams"), "b")
+    met = met.select("a", "b", F.size("a_grams").alias("m"), F.size("b_grams").alias("n"), F.size(F.array_intersect("a_grams", "b_grams")).alias("both"))
+    return met.filter(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= similarity).select("a", "b").distinct()
 
-        root = forest(len(t), found())
-        tied = np.nonzero(root != np.arange(len(t)))[0]
-        return pd.DataFrame({"a": low[tied], "b": low[root[tied]]})
 
-    schema = ", ".join(["shard int", "home boolean", "low long", *(f"{c} long" for c in names)])
-    return sigs.select("low", *names).mapInArrow(route, schema).groupBy("shard").applyInPandas(links, "a long, b long")
+def link_signatures(sigs: DataFrame, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, k: int = 2, parts: int = PARTS, shard_rows: int = 8192) -> DataFrame:
+    """(a, b): links between rows of sigs (low: long, n, s0, s1, ...) that connect all of them that candidates connect.
+
+    Long fingerprints are cut into words of 32 bits. Two rows are candidates if some word differs in at most k bits and the
+    long fingerprints leave the similarity open; they link if the shingle sets of their texts in docs (doc_id, text) have it.
+    First each row is compared with the first row of its equal words, which joins most near copies. Then a vantage-point tree of words,
+    fitted on a bounded sample, deals each distinct word to its shard, and as a visitor to the shards whose border it is near;
+    words at the same position meet, and rows of different components so far are compared pair by pair. A
+    single 64-bit fingerprint would need a radius of a dozen bits here, at which triangle bounds prune nothing.
+    """
+    keyed = _keyed(sigs.withColumn("component", F.col("low")), parts)
+    first = keyed.groupBy("key").agg(F.min("low").alias("a"), F.count("*").alias("rows")).filter("rows > 1").select("key", "a")
+    stars = keyed.join(first, "key").filter("low <> a").select("a", F.col("low").alias("b")).distinct()
+    stars = kept(_within(stars, sigs, similarity, parts).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-pairs")
+    joined = kept(verified(stars, docs, similarity, shingle), "star-links")
+    so_far = components(joined).toDF("low", "c")
+    known = kept(sigs.join(so_far, "low", "left").withColumn("component", F.coalesce("c", "low")).drop("c"), "star-groups")
+
+    keyed = _keyed(known, parts)
+    values = kept(keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), "signature-words")
+    near = kept(_word_links(values, known, known.count(), k, parts, shard_rows), "word-pairs")
+    side = lambda key, row, of: keyed.toDF(key, row, of)
+    rows = near.join(side("x", "p", "pc"), "x").join(side("y", "q", "qc"), "y").filter("pc <> qc")
+    pairs = rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    open_ = kept(_within(pairs, known, similarity, parts), "open-pairs")
+    return joined.union(verified(open_, docs, similarity, shingle))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The documents whose id is the smallest of their group, one row each, with the columns of docs.
 
-    A group is what links of link_signatures reach. Null and empty texts are one group. Rows with a null id stay and take no
-    part. Of rows that repeat an id one stays, any of them. An empty table gives an empty result. Texts are shuffled once, to
-    meet the ids that stay; they are not sorted.
+    A group is what links of link_signatures reach, each of them verified on the shingle sets. Null and empty texts are one group. Rows with a null id stay and take no
+    part. Of rows that repeat an id one stays, any of them. An empty table gives an empty result. Texts are shuffled to meet
+    the ids that are candidates, and those that stay; they are not sorted.
     """
     names = _names(PARTS)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own = f"c{docs.columns.index(id_col)}"
     sigs = kept(with_signatures(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "signatures")
-    first = kept(sigs.groupBy(*names).agg(F.min("doc_id").alias("low")), "distinct-signatures")
-    groups = components(link_signatures(first, similarity)).toDF("low", "component")
+    first = kept(sigs.groupBy(*SET, *names).agg(F.min("doc_id").alias("low")), "distinct-signatures")
+    texts = plain.filter(F.col(own).isNotNull()).select(F.col(own).cast("long").alias("doc_id"), F.col(f"c{docs.columns.index(text_col)}").alias("text"))
+    groups = components(link_signatures(first, texts, similarity, shingle)).toDF("low", "component")
     firsts = first.join(groups, "low", "left").filter(F.coalesce("component", "low") == F.col("low")).select(F.col("low").alias("__id"))
     times = sigs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     stay = kept(firsts.distinct().join(times, "__id"), "group-firsts")

@@ -62,6 +62,20 @@ def test_near_dedup_takes_one_of_repeated_rows(spark):
     assert {1, 4, 7, 12}.issubset(got) and not {2, 3, 5, 8, 9, 16}.intersection(got)
 
 
+def near_dedup_of(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.doc_id for r in STAGES["near_dedup"](spark, docs, "").select("doc_id").collect()}
+
+
+def test_near_dedup_judges_sets_of_shingles(spark):
+    lines = {x: "\n".join(" ".join(f"{x}{i}w{j}" for j in range(14)) for i in range(22)) for x in "abcdefgh"}
+    common = " ".join(f"same{j}" for j in range(14)) + "\n"
+    # own texts that repeat one line, and texts that differ only in how often a line stands there
+    assert near_dedup_of(spark, [t + "\n" + common * 40 for t in lines.values()]) == set(range(8))
+    texts = [t + "\n" + (t.split("\n")[-1] + "\n") * n for t in lines.values() for n in (1, 40)]
+    assert near_dedup_of(spark, texts) == set(range(0, 16, 2))
+
+
 def test_signature_of_short_texts():
     assert not simhash.signature(None, 3).any() and not simhash.signature(" \n", 3).any()
     assert (simhash.signature("A b", 3) == simhash.signature("a  B", 3)).all()
