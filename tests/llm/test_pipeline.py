@@ -76,6 +76,21 @@ def test_near_dedup_judges_sets_of_shingles(spark):
     assert near_dedup_of(spark, texts) == set(range(0, 16, 2))
 
 
+def test_near_dedup_finds_isolated_pairs_at_the_similarity(spark):
+    # 320 or 319 shingles in common and 40 own ones each: a similarity of exactly 0.8 and just below, with no third text near
+    def pair(i, both):
+        own = lambda side, n: " ".join(f"p{i}{side}{j}" for j in range(n))
+        shared = " ".join(f"p{i}w{j}" for j in range(both + 4))
+        return f"{shared} {own('a', 40)}", f"{shared} {own('b', 40)}"
+
+    texts = [t for i in range(200) for t in pair(i, 320)]
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) == 0.8
+    assert len(near_dedup_of(spark, texts)) <= 200 + 0.05 * 200
+    texts = [t for i in range(100) for t in pair(i, 319)]
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) < 0.8
+    assert len(near_dedup_of(spark, texts)) == 200
+
+
 def test_signature_of_short_texts():
     assert not simhash.signature(None, 3).any() and not simhash.signature(" \n", 3).any()
     assert (simhash.signature("A b", 3) == simhash.signature("a  B", 3)).all()
