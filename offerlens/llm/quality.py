@@ -92,7 +92,10 @@ def _factored(sums: DataFrame) -> DataFrame:
         df = df.withColumn(f"d{j}", d)
         below = {f"l{i}_{j}": sum((-(F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") * F.col(f"d{k}")) for k in range(j)), F.col(f"c{i}_{j}")) / F.col(f"d{j}") for i in range(j + 1, P)}
         df = df.withColumns(below) if below else df
-    return df.select("g", *m, *(f"d{j}" for j in range(P)), *(f"l{i}_{j}" for i in range(P) for j in range(i)))
+    det = F.col("d0")
+    for j in range(1, P):
+        det = det * F.col(f"d{j}")
+    return df.select("g", "t", *m, *(f"d{j}" for j in range(P)), *(f"l{i}_{j}" for i in range(P) for j in range(i)), det.alias("det"))
 
 
 def _distance(df: DataFrame, x, name: str) -> DataFrame:
@@ -116,11 +119,13 @@ def groups(stats: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
     return n.select(*by, g.alias("g"))
 
 
-def fit(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int = 120, share: float = 0.75, steps: int = 4) -> DataFrame:
+def fit(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int = 120, share: float = 0.5) -> DataFrame:
     """Minimum-covariance-determinant estimates: (by..., centre, factors, unit) for each combination of `by` in stats.
 
-    stats: `by` and the statistics of the rows that pass the base rules. The start is each group's medians and quartiles;
-    each concentration step keeps the `share` of the group at the smallest distances and estimates again from these.
+    stats: `by` and the statistics of the rows that pass the base rules. There are three starts, at each group's quartiles
+    and medians, so that junk of less than half a group is left out whichever side it lies on; each concentration step keeps
+    the `share` of the group at the smallest distances and estimates again from these, until no determinant falls by a
+    thousandth any more. The start of the least determinant gives the estimate.
     `unit` brings the group's median distance to that of a normal sample. A step reads the rows once and shuffles partial
     sums by group and step of distance: a bounded number of rows for a group of any size. A combination with fewer than
     `least` rows is pooled with others (see groups); a pool that is still smaller gives no estimate.
@@ -138,24 +143,35 @@ def fit(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int =
     quart = cum.groupBy("g", "i").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     pick = lambda c, i: F.max(F.when(F.col("i") == i, c))
     spread = ((F.col("q3") - F.col("q1")) / 1.349) ** 2 + (FLOOR * SCALE) ** 2
-    start = quart.filter(F.col("n") >= least).groupBy("g").agg(*(pick(F.col("q2").cast("double"), i).alias(f"m{i}") for i in range(P)), *(pick(spread, i).alias(f"d{i}") for i in range(P)))
-    params = kept(start.select("*", *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i))), "quality-fit")
+    start = quart.filter(F.col("n") >= least).groupBy("g").agg(*(pick(F.col(q).cast("double"), i).alias(f"{q}_{i}") for q in ("q1", "q2", "q3") for i in range(P)), *(pick(spread, i).alias(f"d{i}") for i in range(P)))
+    start = start.withColumn("t", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    from_ = lambda i: F.when(F.col("t") == 1, F.col(f"q1_{i}")).when(F.col("t") == 2, F.col(f"q2_{i}")).otherwise(F.col(f"q3_{i}")).alias(f"m{i}")
+    params = start.select("g", "t", *map(from_, range(P)), *(f"d{i}" for i in range(P)), *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)), F.lit(1e300).alias("det"))
+    params = kept(params, "quality-fit")
 
     step = F.floor(F.log2(F.col("dist") + 1) * STEPS).cast("int")
-    by_step = Window.partitionBy("g").orderBy("step")
-    for _ in range(steps):
+    by_step = Window.partitionBy("g", "t").orderBy("step")
+    while True:
         near = _distance(rows.join(params, "g"), _stat, "dist").withColumn("step", step)
         sums = {"n": F.count("*")} | {f"a{i}": F.sum(_stat(i)) for i in range(P)} | {f"b{i}_{j}": F.sum(_stat(i) * _stat(j)) for i in range(P) for j in range(i + 1)}
-        parts = near.groupBy("g", "step").agg(*(v.alias(k) for k, v in sums.items()))
-        parts = parts.withColumn("before", F.sum("n").over(by_step) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-        inner = parts.filter(F.col("before") < F.col("all") * share).groupBy("g").agg(*(F.sum(k).alias(k) for k in sums))
-        params = kept(_factored(inner), "quality-fit")
-
-    near = _distance(rows.join(params, "g"), _stat, "dist").groupBy("g", step.alias("step")).agg(F.count("*").alias("n"))
+        parts = near.groupBy("g", "t", "step").agg(*(v.alias(k) for k, v in sums.items()))
+        parts = parts.withColumn("before", F.sum("n").over(by_step) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g", "t")))
+        inner = parts.filter(F.col("before") < F.col("all") * share).groupBy("g", "t").agg(*(F.sum(k).alias(k) for k in sums))
+        # determinants are bounded below by FLOOR, so falling by a thousandth ends
+        new = _factored(inner).join(params.select("g", "t", F.col("det").alias("last")), ["g", "t"]).filter(F.col("det") < F.col("last") * 0.999).drop("last")
+        new = kept(new.select(*params.columns), "quality-steps")
+        if new.isEmpty():
+            break
+        params = kept(new.union(params.join(new.select("g", "t"), ["g", "t"], "left_anti").select(*params.columns)), "quality-fit")
+
+    best = Window.partitionBy("g").orderBy("det", "t")
+    params = kept(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "quality-best")
+
+    near = _distance(rows.join(params, "g"), _stat, "dist").groupBy("g", "t", step.alias("step")).agg(F.count("*").alias("n"))
     near = near.withColumn("upto", F.sum("n").over(by_step)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
     median = near.groupBy("g").agg(F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("step"))).alias("mid"))
     unit = median.select("g", (F.lit(3.357) / (F.pow(2.0, (F.col("mid") + 0.5) / STEPS) - 1)).alias("unit"))
-    return of.join(params.join(unit, "g"), "g").drop("g")
+    return of.join(params.join(unit, "g"), "g").drop("g", "t", "det")
 
 
 def verdicts(counted: DataFrame, fitted: DataFrame, by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:

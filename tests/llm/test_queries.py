@@ -130,6 +130,15 @@ def test_quality_verdicts(docs):
     assert [r.kept for r in got] == [not r.bad and keep(r.lang, r.source, r.v) for r in got]
 
 
+def test_quality_rejects_the_junk_of_a_source_that_is_two_fifths_junk(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    junk = lambda: word()[:3] + "".join(rng.choice(list("#*$%&|<>"), 2))
+    rows = [(i, " ".join(junk() if i % 5 < 2 else word() for _ in range(90)), "en", "web") for i in range(300)]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "kept").collect()
+    assert {r.doc_id for r in got if r.kept} == {i for i, *_ in rows if i % 5 >= 2}
+
+
 def test_embeddings(spark):
     v = spark.read.parquet(str(DATA / "embeddings.parquet"))
     matches(embeddings.near_duplicates(clashing(v)), queries.ORACLES["op3_embeddings"], embeddings=v)
