@@ -6,6 +6,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -59,24 +60,23 @@ class PairTable:
         return out
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A file of ranks (base64 token, rank). A token's rank is its id."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+
+
 class ByteBpe:
-    """Encoder and decoder over a file of ranks (base64 token, rank). A token's rank is its id."""
+    """Encoder over a file of ranks."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+        self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.bytes_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         get, pairs = self.ranks.get, []
         for token, rank in self.ranks.items():
             pairs += [(a, b, rank) for cut in range(1, len(token)) if (a := get(token[:cut])) is not None and (b := get(token[cut:])) is not None]
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
-        by_id = sorted(self.ranks.items(), key=lambda x: x[1])
-        self.token_at = np.full(by_id[-1][1] + 2, 0, np.int64)
-        lengths = np.zeros(by_id[-1][1] + 1, np.int64)
-        lengths[[r for _, r in by_id]] = [len(t) for t, _ in by_id]
-        self.token_at[1:] = np.cumsum(lengths)
-        self.token_bytes = np.frombuffer(b"".join(t for t, _ in by_id), np.uint8)
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def _merge_rows(self, rows: list[bytes], width: int) -> list[tuple[int, ...]]:
@@ -184,6 +184,18 @@ class ByteBpe:
         flush()
         return [np.frombuffer(ids, np.uint32).astype("<u4").tobytes() if len(ids) else b"" for ids in out]
 
+
+class ByteDecoder:
+    """The bytes of ids, from the same file of ranks."""
+
+    def __init__(self, path: str):
+        by_id = sorted(read_ranks(path).items(), key=lambda x: x[1])
+        self.token_at = np.full(by_id[-1][1] + 2, 0, np.int64)
+        lengths = np.zeros(by_id[-1][1] + 1, np.int64)
+        lengths[[r for _, r in by_id]] = [len(t) for t, _ in by_id]
+        self.token_at[1:] = np.cumsum(lengths)
+        self.token_bytes = np.frombuffer(b"".join(t for t, _ in by_id), np.uint8)
+
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4").astype(np.int64)
         parts = []
@@ -195,6 +207,17 @@ class ByteBpe:
         return b"".join(parts)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> ByteBpe:
+    """Made once in a worker process, and shared by the tasks that it runs."""
+    return ByteBpe(path, pattern)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> ByteDecoder:
+    return ByteDecoder(path)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): each text's ids as little-endian unsigned 32-bit integers (binary); null and empty texts have none.
 
@@ -203,7 +226,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = encoder(path, pattern)
         for b in slices(batches):
             yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
 
@@ -211,11 +234,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return narrow.mapInArrow(run, "doc_id long, ids binary")
 
 
-def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """tokens (doc_id, ids) with one more column, `decoded`: the bytes of the text."""
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """tokens (doc_id, ids) with one more column, `decoded`: the bytes of the text; null and empty ids give none. Rows may
+    repeat, in any number; an empty table gives an empty result; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path, pattern)
+        bpe = decoder(path)
         for b in slices(batches, "ids"):
             yield pa.record_batch([*b.columns, pa.array([bpe.decode(x or b"") for x in b.column("ids").to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -223,6 +247,10 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: digests of its ids and of the bytes decoded from them."""
-    both = decoded(encoded(docs, path, pattern), path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: digests of its ids and of the bytes decoded from them.
+
+    Null texts count as empty: no ids, the digests of nothing. Repeated rows give repeated rows; texts of any length are taken
+    whole; an empty table gives an empty result; other columns are not read.
+    """
+    both = decoded(encoded(docs, path, pattern), path)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
