@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .storage import kept
@@ -20,6 +20,10 @@ FLOOR = 0.05
 CUTOFF = 15.0**2
 #: Steps of a distance's logarithm in which subsets are cut.
 STEPS = 32
+#: Rows for which medians and spreads of all groups together count in each group's own: twice what a covariance needs to be regular.
+PRIOR = 2 * (P + 1)
+#: Median and 97.5 % point of the squared distances in a normal sample of P statistics.
+MEDIAN, NORMAL = 3.357, 11.143
 
 
 def repeated_words(w: Column) -> Column:
@@ -81,12 +85,24 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _factored(sums: DataFrame) -> DataFrame:
-    """From n, sums and sums of products per group: the centre m_i and the factors l_ij, d_i of the covariance L D L'."""
+def _short_spread(quartiles: Row, i: int) -> float:
+    """The variance that the quartile nearer to the median stands for: junk on one side of it leaves the other as it is."""
+    q1, q2, q3 = (quartiles[f"{q}_{i}"] for q in ("q1", "q2", "q3"))
+    return (2 * min(q2 - q1, q3 - q2) / 1.349) ** 2 + (FLOOR * SCALE) ** 2
+
+
+def _factored(sums: DataFrame, prior: Row | None) -> DataFrame:
+    """From n, sums and sums of products per group: the centre m_i and the factors l_ij, d_i of the covariance L D L'. The
+    row `prior` of _quartiles counts as PRIOR rows of its medians and shorter spreads."""
     n = F.col("n").cast("double")
-    m = {f"m{i}": F.col(f"a{i}") / n for i in range(P)}
-    df = sums.withColumns(m)
-    df = df.withColumns({f"c{i}_{j}": (F.col(f"b{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) + F.lit((FLOOR * SCALE) ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)})
+    k = PRIOR if prior else 0
+    p = lambda i: prior[f"q2_{i}"] if prior else 0.0
+    q = lambda i, j: (_short_spread(prior, i) if i == j else 0.0) + p(i) * p(j) if prior else 0.0
+    df = sums
+    m = {f"m{i}": (F.col(f"a{i}") + F.lit(k * p(i))) / (n + k) for i in range(P)}
+    df = df.withColumns(m)
+    cov = {f"c{i}_{j}": (F.col(f"b{i}_{j}") + F.lit(k * q(i, j))) / (n + k) - F.col(f"m{i}") * F.col(f"m{j}") + F.lit((FLOOR * SCALE) ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)}
+    df = df.withColumns(cov)
     for j in range(P):
         d = sum((-(F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") * F.col(f"d{k}")) for k in range(j)), F.col(f"c{j}_{j}"))
         df = df.withColumn(f"d{j}", d)
@@ -109,69 +125,86 @@ def _stat(i: int) -> Column:
     return F.col(STATS[i])
 
 
-def groups(stats: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
-    """(by..., g): the group that estimates each combination; small ones of one first key are pooled, then what is still small."""
-    n = stats.groupBy(*by).count().withColumn("own", F.col("count") >= least)
-    first = Window.partitionBy(by[0], "own")
-    n = n.withColumn("pool", F.sum("count").over(first))
-    name = lambda level, *cols: F.to_json(F.struct(F.lit(level).alias("level"), *cols))
-    g = F.when(F.col("own"), name("own", *by)).when(F.col("pool") >= least, name("pool", by[0])).otherwise(name("rest"))
-    return n.select(*by, g.alias("g"))
+def _sums() -> list[Column]:
+    every = {"n": F.count("*")} | {f"a{i}": F.sum(_stat(i)) for i in range(P)} | {f"b{i}_{j}": F.sum(_stat(i) * _stat(j)) for i in range(P) for j in range(i + 1)}
+    return [v.alias(k) for k, v in every.items()]
 
 
-def fit(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int = 120, share: float = 0.5) -> DataFrame:
-    """Minimum-covariance-determinant estimates: (by..., centre, factors, unit) for each combination of `by` in stats.
+SUMS = ("n", *(f"a{i}" for i in range(P)), *(f"b{i}_{j}" for i in range(P) for j in range(i + 1)))
+PARAMS = ("g", "t", *(f"m{i}" for i in range(P)), *(f"d{i}" for i in range(P)), *(f"l{i}_{j}" for i in range(P) for j in range(i)))
 
-    stats: `by` and the statistics of the rows that pass the base rules. There are three starts, at each group's quartiles
-    and medians, so that junk of less than half a group is left out whichever side it lies on; each concentration step keeps
-    the `share` of the group at the smallest distances and estimates again from these, until no determinant falls by a
-    thousandth any more. The start of the least determinant gives the estimate.
-    `unit` brings the group's median distance to that of a normal sample. A step reads the rows once and shuffles partial
-    sums by group and step of distance: a bounded number of rows for a group of any size. A combination with fewer than
-    `least` rows is pooled with others (see groups); a pool that is still smaller gives no estimate.
-    """
-    of = kept(groups(stats, by, least), "quality-groups")
-    same = F.lit(True)
-    for k in by:
-        same = same & stats[k].eqNullSafe(of[k])
-    rows = kept(stats.join(of, same).select(of["g"], *STATS), "quality-rows")
 
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """(g, q1_i, q2_i, q3_i, d_i): quartiles of each statistic, and the variance that their distance stands for."""
     tall = rows.select("g", F.posexplode(F.array(*STATS)).alias("i", "x")).groupBy("g", "i", "x").count()
     w = Window.partitionBy("g", "i").orderBy("x")
     cum = tall.select("g", "i", "x", F.sum("count").over(w).alias("upto"), F.sum("count").over(Window.partitionBy("g", "i")).alias("n"))
     at = lambda p: F.min(F.when(F.col("upto") >= F.col("n") * p, F.col("x")))
-    quart = cum.groupBy("g", "i").agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    quart = cum.groupBy("g", "i").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     pick = lambda c, i: F.max(F.when(F.col("i") == i, c))
     spread = ((F.col("q3") - F.col("q1")) / 1.349) ** 2 + (FLOOR * SCALE) ** 2
-    start = quart.filter(F.col("n") >= least).groupBy("g").agg(*(pick(F.col(q).cast("double"), i).alias(f"{q}_{i}") for q in ("q1", "q2", "q3") for i in range(P)), *(pick(spread, i).alias(f"d{i}") for i in range(P)))
-    start = start.withColumn("t", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    return quart.groupBy("g").agg(*(pick(F.col(q).cast("double"), i).alias(f"{q}_{i}") for q in ("q1", "q2", "q3") for i in range(P)), *(pick(spread, i).alias(f"d{i}") for i in range(P)))
+
+
+def _estimates(rows: DataFrame, share: float, prior: Row | None) -> DataFrame:
+    """(PARAMS, unit) for each group g of rows (g, statistics)."""
+    start = _quartiles(rows).withColumn("t", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
     from_ = lambda i: F.when(F.col("t") == 1, F.col(f"q1_{i}")).when(F.col("t") == 2, F.col(f"q2_{i}")).otherwise(F.col(f"q3_{i}")).alias(f"m{i}")
-    params = start.select("g", "t", *map(from_, range(P)), *(f"d{i}" for i in range(P)), *(F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)), F.lit(1e300).alias("det"))
-    params = kept(params, "quality-fit")
+    zeros = [F.lit(0.0).alias(f"l{i}_{j}") for i in range(P) for j in range(i)]
+    params = kept(start.select("g", "t", *map(from_, range(P)), *(f"d{i}" for i in range(P)), *zeros, F.lit(1e300).alias("det"), F.lit(True).alias("moved")), "quality-fit")
 
     step = F.floor(F.log2(F.col("dist") + 1) * STEPS).cast("int")
     by_step = Window.partitionBy("g", "t").orderBy("step")
     while True:
-        near = _distance(rows.join(params, "g"), _stat, "dist").withColumn("step", step)
-        sums = {"n": F.count("*")} | {f"a{i}": F.sum(_stat(i)) for i in range(P)} | {f"b{i}_{j}": F.sum(_stat(i) * _stat(j)) for i in range(P) for j in range(i + 1)}
-        parts = near.groupBy("g", "t", "step").agg(*(v.alias(k) for k, v in sums.items()))
+        near = _distance(rows.join(params.filter("moved").select(*PARAMS), "g"), _stat, "dist").withColumn("step", step)
+        parts = near.groupBy("g", "t", "step").agg(*_sums())
         parts = parts.withColumn("before", F.sum("n").over(by_step) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g", "t")))
-        inner = parts.filter(F.col("before") < F.col("all") * share).groupBy("g", "t").agg(*(F.sum(k).alias(k) for k in sums))
-        # determinants are bounded below by FLOOR, so falling by a thousandth ends
-        new = _factored(inner).join(params.select("g", "t", F.col("det").alias("last")), ["g", "t"]).filter(F.col("det") < F.col("last") * 0.999).drop("last")
-        new = kept(new.select(*params.columns), "quality-steps")
-        if new.isEmpty():
+        inner = parts.filter(F.col("before") < F.col("all") * share).groupBy("g", "t").agg(*(F.sum(k).alias(k) for k in SUMS))
+        new = _factored(inner, prior)
+        both = params.join(new.select("g", "t", *(F.col(c).alias(f"new_{c}") for c in (*PARAMS[2:], "det"))), ["g", "t"], "left")
+        # determinants are bounded below by FLOOR, so falling by a hundredth ends
+        falls = F.coalesce(F.col("new_det") < F.col("det") * 0.99, F.lit(False))
+        params = kept(both.select("g", "t", *(F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*PARAMS[2:], "det")), falls.alias("moved")), "quality-fit")
+        if params.filter("moved").isEmpty():
             break
-        params = kept(new.union(params.join(new.select("g", "t"), ["g", "t"], "left_anti").select(*params.columns)), "quality-fit")
 
     best = Window.partitionBy("g").orderBy("det", "t")
-    params = kept(params.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place"), "quality-best")
+    params = kept(params.withColumn("place", F.row_number().over(best)).filter("place = 1").select(*PARAMS), "quality-best")
+
+    def with_unit(fitted: DataFrame) -> DataFrame:
+        near = _distance(rows.join(fitted, "g"), _stat, "dist").groupBy("g", "t", step.alias("step")).agg(F.count("*").alias("n"))
+        near = near.withColumn("upto", F.sum("n").over(by_step)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+        median = near.groupBy("g").agg(F.max("all").alias("n"), F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("step"))).alias("mid"))
+        known = F.pow(2.0, (F.col("mid") + 0.5) / STEPS) - 1
+        k = PRIOR if prior else 0
+        return fitted.join(median.select("g", (MEDIAN / ((F.col("n") * known + k * MEDIAN) / (F.col("n") + k))).alias("unit")), "g")
 
-    near = _distance(rows.join(params, "g"), _stat, "dist").groupBy("g", "t", step.alias("step")).agg(F.count("*").alias("n"))
-    near = near.withColumn("upto", F.sum("n").over(by_step)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    median = near.groupBy("g").agg(F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("step"))).alias("mid"))
-    unit = median.select("g", (F.lit(3.357) / (F.pow(2.0, (F.col("mid") + 0.5) / STEPS) - 1)).alias("unit"))
-    return of.join(params.join(unit, "g"), "g").drop("g", "t", "det")
+    # reweighting: once more from all rows that are no outliers of a normal sample under the estimate
+    first = kept(with_unit(params), "quality-first")
+    inner = _distance(rows.join(first, "g"), _stat, "dist").filter(F.col("dist") * F.col("unit") <= NORMAL).groupBy("g", "t").agg(*_sums())
+    again = kept(_factored(inner, prior).select(*PARAMS), "quality-reweighted")
+    return with_unit(again.union(params.join(again.select("g"), "g", "left_anti")))
+
+
+def fit(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), share: float = 0.5) -> DataFrame:
+    """Minimum-covariance-determinant estimates: (by..., centre, factors, unit) for each combination of `by` in stats.
+
+    stats: `by` and the statistics of the rows that pass the base rules. There are three starts, at each group's quartiles
+    and medians, so that junk of less than half a group is left out whichever side it lies on; each concentration step keeps
+    the `share` of the group at the smallest distances and estimates again from these, until no determinant falls by a
+    hundredth any more. The start of the least determinant is estimated once more from all rows that are no outliers under it,
+    and `unit` brings the group's median distance to that of a normal sample. A step reads the rows once and shuffles partial
+    sums by group and step of distance: a bounded number of rows for a group of any size.
+
+    Every combination has an estimate of its own, at any size: medians and spreads of all rows together count in it as PRIOR
+    further rows (a regularised determinant), which decide for a handful of rows and vanish in thousands.
+    """
+    name = F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(by)), F.lit(1).alias("one")))
+    rows = kept(stats.select(name.alias("g"), *STATS), "quality-rows")
+    prior = _quartiles(rows.withColumn("g", F.lit("all"))).first()
+    own = _estimates(rows, share, prior)
+    names = stats.select(*by, name.alias("g")).distinct()
+    return names.join(own.select(*PARAMS, "unit"), "g").drop("g", "t")
 
 
 def verdicts(counted: DataFrame, fitted: DataFrame, by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -201,14 +234,19 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by:
 
 
 def passing(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), **options) -> DataFrame:
-    """The documents that are kept, with the columns of docs, in one pass over the texts after the estimates; no text is shuffled."""
+    """The documents that are kept, with the columns of docs, with one pass that counts the texts; none is shuffled.
+
+    Null, empty and short texts fail the base rules and go; null languages and sources form groups of their own; repeated
+    rows fare alike and all stay or go; an empty table gives an empty result; other columns may have any name.
+    """
     cutoff = options.pop("cutoff", CUTOFF)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: f"c{docs.columns.index(c)}" for c in (*by, "text")}
     named = lambda df: df.select(*df.columns, *(F.col(at[k]).alias(f"__by_{k}") for k in by))
     keys = tuple(f"__by_{k}" for k in by)
     counted = with_counts(named(plain), at["text"])
-    # written before it is filtered: a filter would be pushed down and count every text twice
-    stats = kept(counted.select(*keys, "q"), "quality-counts").filter("not q.base_failed").select(*keys, *(f"q.{s}" for s in STATS))
+    # written with their counts, so that no text is counted twice
+    counted = kept(counted, "quality-counted")
+    stats = counted.filter("not q.base_failed").select(*keys, *(f"q.{s}" for s in STATS))
     fitted = kept(fit(stats, keys, **options), "quality-estimates")
     return verdicts(counted, fitted, keys, cutoff).filter("kept").select(*plain.columns).toDF(*docs.columns)

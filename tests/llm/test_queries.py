@@ -93,41 +93,70 @@ def test_quality_counts(docs):
     assert not any(r[-2] and r[-1] for r in got)
 
 
-def brute_verdicts(stats, least, share=0.75, steps=4):
-    """(kept) per row of stats [(lang, source, vector)] by plain numpy."""
-    n = Counter((a, b) for a, b, _ in stats)
-    pool, of = Counter(), {}
-    for (a, b), c in n.items():
-        pool[a] += c if c < least else 0
-    for a, b in n:
-        of[a, b] = ("own", a, b) if n[a, b] >= least else ("pool", a) if pool[a] >= least else "rest"
-    rows = defaultdict(list)
-    for a, b, v in stats:
-        rows[of[a, b]].append(v)
-    fits = {}
-    floor = (quality.FLOOR * quality.SCALE) ** 2
-    for g, x in rows.items():
-        x = np.array(x, float)
-        if len(x) < least:
-            continue
-        q1, q2, q3 = (np.sort(x, axis=0)[int(np.ceil(len(x) * p)) - 1] for p in (0.25, 0.5, 0.75))
-        m, c = q2, np.diag(((q3 - q1) / 1.349) ** 2 + floor)
-        dist = lambda y, m, c: np.einsum("ij,ij->i", y - m, np.linalg.solve(c, (y - m).T).T)
-        for _ in range(steps):
-            s = np.floor(np.log2(dist(x, m, c) + 1) * quality.STEPS)
-            before = np.array([(s < v).sum() for v in s])
-            inner = x[before < len(x) * share]
-            m, c = inner.mean(axis=0), np.cov(inner.T, bias=True) + np.eye(len(m)) * floor
-        s = np.sort(np.floor(np.log2(dist(x, m, c) + 1) * quality.STEPS))
-        mid = s[int(np.ceil(len(x) / 2)) - 1]
-        fits[g] = m, c, 3.357 / (2 ** ((mid + 0.5) / quality.STEPS) - 1), dist
-    return lambda a, b, v: (g := of.get((a, b))) not in fits or fits[g][3](np.array([v], float), *fits[g][:2])[0] * fits[g][2] <= quality.CUTOFF
+def quartiles(x):
+    q = [np.sort(x, axis=0)[int(np.ceil(len(x) * p)) - 1] for p in (0.25, 0.5, 0.75)]
+    return q, np.diag(((q[2] - q[0]) / 1.349) ** 2 + (quality.FLOOR * quality.SCALE) ** 2)
+
+
+def brute_estimate(x, prior=None, share=0.5):
+    """(centre, covariance, unit) of rows x by plain numpy; prior: (centre, covariance)."""
+    k, floor = (quality.PRIOR if prior else 0), np.eye(x.shape[1]) * (quality.FLOOR * quality.SCALE) ** 2
+    dist = lambda m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+    steps = lambda d: np.floor(np.log2(d + 1) * quality.STEPS)
+
+    def moments(rows):
+        p, q = (prior[0], prior[1] + np.outer(*[prior[0]] * 2)) if prior else (0, 0)
+        m = (rows.sum(axis=0) + k * p) / (len(rows) + k)
+        return m, (rows.T @ rows + k * q) / (len(rows) + k) - np.outer(m, m) + floor
+
+    def unit(m, c):
+        s = np.sort(steps(dist(m, c)))
+        mid = 2 ** ((s[int(np.ceil(len(x) / 2)) - 1] + 0.5) / quality.STEPS) - 1
+        return quality.MEDIAN / ((len(x) * mid + k * quality.MEDIAN) / (len(x) + k))
+
+    (q1, q2, q3), spread = quartiles(x)
+    fits = []
+    for m in (q1, q2, q3):
+        c, last = spread, 1e300
+        while True:
+            s = steps(dist(m, c))
+            new = moments(x[np.array([(s < v).sum() for v in s]) < len(x) * share])
+            if np.linalg.det(new[1]) >= last * 0.99:
+                break
+            (m, c), last = new, np.linalg.det(new[1])
+        fits.append((last, len(fits), m, c))
+    m, c = min(fits, key=lambda f: f[:2])[2:]
+    inner = x[dist(m, c) * unit(m, c) <= quality.NORMAL]
+    m, c = moments(inner) if len(inner) else (m, c)
+    return m, c, unit(m, c)
 
 
 def test_quality_verdicts(docs):
-    got = quality.judged(docs, least=20).select("lang", "source", F.array(*(F.col("q")[s] for s in quality.STATS)).alias("v"), F.col("q")["base_failed"].alias("bad"), "kept").collect()
-    keep = brute_verdicts([(r.lang, r.source, r.v) for r in got if not r.bad], 20)
-    assert [r.kept for r in got] == [not r.bad and keep(r.lang, r.source, r.v) for r in got]
+    got = quality.judged(docs).select("lang", "source", F.array(*(F.col("q")[s] for s in quality.STATS)).alias("v"), F.col("q")["base_failed"].alias("bad"), "kept").collect()
+    rows = defaultdict(list)
+    for r in got:
+        if not r.bad:
+            rows[r.lang, r.source].append(r.v)
+    (q1, mid, q3), _ = quartiles(np.array([v for g in rows.values() for v in g], float)) if rows else (np.zeros((3, 1)), 0)
+    prior = mid, np.diag((2 * np.minimum(mid - q1, q3 - mid) / 1.349) ** 2 + (quality.FLOOR * quality.SCALE) ** 2)
+    fits = {g: brute_estimate(np.array(x, float), prior) for g, x in rows.items()}
+
+    def keep(r):
+        m, c, unit = fits[r.lang, r.source]
+        d = np.array(r.v) - m
+        return d @ np.linalg.solve(c, d) * unit <= quality.CUTOFF
+
+    assert [r.kept for r in got] == [not r.bad and bool(keep(r)) for r in got]
+
+
+def test_quality_judges_a_handful_by_its_own_group(spark):
+    """Three texts of one source, one of them junk, beside a large source: no size is too small for a verdict."""
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(90))
+    rows = [(i, text(), "en", "web") for i in range(200)] + [(200, text(), "en", "few"), (201, text(), None, None), ()]
+    rows[-1] = (202, " ".join(f"{w[:2]}#${i % 7}%{chr(97 + i % 26)}*" for i, w in enumerate(text().split())), "en", "few")
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "kept").collect()}
+    assert got[200] and got[201] and not got[202] and sum(got.values()) >= 198
 
 
 def test_quality_rejects_the_junk_of_a_source_that_is_two_fifths_junk(spark):
