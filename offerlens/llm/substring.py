@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .lines import keyed_join
 from .storage import kept
 from .text import slices
 
@@ -168,47 +169,65 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_rows:
 
     Windows are dealt out by their anchors (see segments), so equal windows meet. An anchor that occurs once is done with. Of
     equal segments, all but the first are spans as a whole. The distinct segments of an anchor that has several go, as text,
-    to the anchor's shard, whose FM-index finds the windows that they share. An anchor with more than `hot` of them is dealt
-    out window by window, by the windows' words, so that no shard grows with one passage.
+    to the anchor's shard, whose FM-index finds the windows that they share. Of an anchor with more than `hot` of them the
+    windows are combined one by one, by 128 bits of hashes of their words, to the first of each, so that no shard grows with
+    one passage. Keys that hold many rows are joined where their rows lie (see keyed_join).
     """
     docs = docs.filter("doc_id is not null and text is not null")
     every = segments(docs, window, gram)
     several = kept(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "window-anchors")
     some = kept(every.join(several, "anchor", "left_semi"), "window-segments")
-    first = kept(some.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "place")).alias("first")), "window-firsts")
+    first = kept(some.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("rows")), "window-firsts")
+    rows = first.agg(F.sum("rows")).first()[0] or 0
     length = lambda p: (p.bitwiseAND(255) + (window - 1)).alias("length")
     start = lambda p: F.shiftright(p, 8).alias("start")
-    later = some.join(first, ["anchor", "seg"]).filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", start(F.col("place")), length(F.col("place")))
+    # a segment that occurs once has no later copy
+    later = keyed_join(some, first.filter("rows > 1"), ["anchor", "seg"], "rows", rows).filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", start(F.col("place")), length(F.col("place")))
 
     counts = kept(first.groupBy("anchor").agg(F.count("*").alias("segs")).filter("segs > 1"), "window-contested")
     contested = first.join(counts, "anchor").select("anchor", "first.doc_id", "first.place", (F.col("segs") > hot).alias("hot"))
     total = counts.agg(F.sum("segs")).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
-    of_doc = contested.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "hot")).alias("parts"))
+    of_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 20):
-            rows = []
+            found = []
             for i, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 words = text.encode().split()
                 for p in parts:
                     s, n = p["place"] >> 8, p["place"] & 255
-                    if not p["hot"]:
-                        rows.append((p["anchor"] % shards, i, s, b" ".join(words[s : s + n + window - 1]).decode()))
-                        continue
-                    for j in range(s, s + n):
-                        t = b" ".join(words[j : j + window])
-                        rows.append((xxh64_intdigest(t) % shards, i, j, t.decode()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
+                    found.append((p["anchor"] % shards, i, s, b" ".join(words[s : s + n + window - 1]).decode()))
+            cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "doc_id", "start", "words"])
 
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=1 << 20):
+            found = []
+            for i, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
+                words = text.encode().split()
+                for p in parts:
+                    s = p["place"] >> 8
+                    for j in range(s, s + (p["place"] & 255)):
+                        t = b" ".join(words[j : j + window])
+                        found.append((xxh64_intdigest(t) - (1 << 63), xxh64_intdigest(t, 1) - (1 << 63), i, j))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in list(zip(*found, strict=True)) or [[]] * 4], ["w1", "w2", "doc_id", "start"])
+
     def search(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
         doc, at = shard_repeats(t["doc_id"].to_numpy(), t["start"].to_numpy(), t["words"].tolist(), window)
         return pd.DataFrame({"doc_id": doc, "start": at, "length": np.full(len(at), window)})
 
-    texts = docs.select("doc_id", "text").join(of_doc, "doc_id").mapInArrow(cut, "shard int, doc_id long, start long, words string")
+    narrow = docs.select("doc_id", "text")
+    texts = narrow.join(of_doc(contested.filter("not hot")), "doc_id").mapInArrow(cut, "shard int, doc_id long, start long, words string")
     shared = texts.groupBy("shard").applyInPandas(search, "doc_id long, start long, length long")
-    return later.select("doc_id", "start", F.col("length").cast("long")).union(shared)
+    out = later.select("doc_id", "start", F.col("length").cast("long")).union(shared)
+    if counts.filter(F.col("segs") > hot).isEmpty():
+        return out
+    windows = kept(narrow.join(of_doc(contested.filter("hot")), "doc_id").mapInArrow(single, "w1 long, w2 long, doc_id long, start long"), "hot-windows")
+    firsts = kept(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "hot-firsts")
+    again = keyed_join(windows, firsts, ["w1", "w2"], "rows", firsts.agg(F.sum("rows")).first()[0] or 0)
+    again = again.filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(window).cast("long").alias("length"))
+    return out.union(again)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, **options) -> DataFrame:
