@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, embeddings, lines, mixing, quality, simhash, substring, token_counts, token_files, urls
-from .storage import kept, new_path
+from .storage import kept, new_path, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, token_files.word_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
-    return token_files.read_tokens(spark, path).drop("ids")
+    with small_batches(spark):
+        return kept(token_files.read_tokens(spark, path, with_ids=False), "token-rows")
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files)}

@@ -7,14 +7,16 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import kept, small_batches
 from .text import slices
 
 #: (values in a word, bits of each) by selector, the top four bits of a word. Selector 0 escapes: its word holds the place
@@ -27,7 +29,11 @@ LIMITS = np.array([(1 << int(b)) - 1 for b in WIDTHS], np.uint64)
 SMALL = WIDTHS[np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64))]
 BLOCK = 1024
 #: Ids after which a file image is closed, at the next end of a document.
-IMAGE = 1 << 20
+IMAGE = 1 << 17
+#: Bytes of text in a range of documents: the number of ranges follows the input.
+RANGE = 32 << 20
+#: Shards up to which their sums are sent to every task: 16 bytes each.
+BROADCAST_SHARDS = 1 << 17
 MAGIC = 0x31423853
 
 
@@ -113,19 +119,27 @@ def from_image(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), unpack(w, offsets, e, n)
 
 
-#: Words of which the number of the tokenizer's pieces is known: letters are one, signs behind them another. Apostrophes start
-#: pieces that hold letters, and signs or letters beyond Latin-1 may change when they are normalised; such words are no match.
-SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
+#: Words of two pieces at most, whatever they hold: letters are one, signs behind them another. Apostrophes start pieces that
+#: hold letters, and signs or letters beyond Latin-1 may change when they are normalised; such words are no match.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of all these spans, one after the other; where each begins in them, and the end)."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])], upto
 
 
 class WordEncoder:
     """Ids of texts under a tokenizers file that drops white space and ends every piece with a token of its suffix.
 
-    ASCII white space ends every piece there, so a text's ids are its words' ids. The library encodes each distinct word once
-    while it is remembered: simple words joined by spaces, as their last tokens tell them apart, other words one by one.
+    ASCII white space ends every piece there, so a text's ids are its words' ids. Words are remembered, up to a bound; then
+    those met first stay, as the frequent ones come early. A new word's letters and signs are looked up apart, and the library
+    encodes new pieces joined by spaces, as their last tokens tell them apart; other words it encodes one by one.
     """
 
-    def __init__(self, path: str, remembered: int = 1 << 19, suffix: str = "</w>"):
+    def __init__(self, path: str, remembered: int = 3 << 17, suffix: str = "</w>"):
         # tasks are the unit of parallel work; threads of the library's own would only compete with them
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -134,37 +148,71 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        #: by a word's code: where its ids start in `ids`, and how many they are
+        #: whether letters of either case have the same ids
+        self.folds = all(np.array_equal(*(self._singly([x])[0] for x in (c, c.lower()))) for c in LETTERS)
+        #: by a word's code: where its ids start in `ids`, and how many they are; the same for pieces
         self.codes: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._forget_pieces()
 
-    def _joined(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+    def _forget_pieces(self) -> None:
+        self.pieces: defaultdict[str, int] = defaultdict(count().__next__)
+        self.piece_starts, self.piece_sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the older half of the words."""
+        half = self.remembered // 2
+        codes = defaultdict(count(half).__next__)
+        codes.update(islice(self.codes.items(), half))
+        self.ids, upto = _gather(self.ids, self.starts[:half], self.sizes[:half])
+        self.codes, self.starts, self.sizes = codes, upto[:-1], self.sizes[:half]
+        self._forget_pieces()
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(own), np.uint32), [len(x) for x in own]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, list[int]]:
+        """(ids of all pieces, how many each has); one by one where the tokenizer cuts them further."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.nonzero(self.is_last[ids])[0]
-        if len(ends) != pieces.sum():
-            raise ValueError("the tokenizer cuts words otherwise than by letters and signs")
-        return ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=-1)
+        if len(ends) != len(pieces) or ends[-1] != len(ids) - 1:
+            return self._singly(pieces)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _learned(self, words: list[str], encode: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, sizes) of words whose ids are added to `ids`."""
+        parts, sizes = [self.ids], np.zeros(len(words), np.int64)
+        for i in range(0, len(words), 4096):
+            ids, sizes[i : i + 4096] = encode(words[i : i + 4096])
+            parts.append(ids)
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate(parts)
+        return starts, sizes
 
     def _learn(self, new: list[bytes]) -> None:
         words = b" ".join(new).decode().split(" ") if new else []
-        found = [SIMPLE.fullmatch(w) for w in words]
-        simple, other = (np.array([i for i, m in enumerate(found) if bool(m) == is_simple], np.int64) for is_simple in (True, False))
-        parts, sizes = [self.ids], np.zeros(len(words), np.int64)
-        for at in np.array_split(simple, len(simple) // 4096 + 1):
-            if len(at):
-                ids, sizes[at] = self._joined([words[i] for i in at], np.array([1 + bool(found[i][1]) for i in at]))
-                parts.append(ids)
-        for at in np.array_split(other, len(other) // 4096 + 1):
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in at], add_special_tokens=False)]
-            sizes[at] = [len(x) for x in own]
-            parts.append(np.fromiter(chain.from_iterable(own), np.uint32))
-        order = np.concatenate([simple, other])
-        starts = np.zeros(len(words), np.int64)
-        starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
-        self.ids, self.starts, self.sizes = np.concatenate(parts), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        found = list(map(SIMPLE.fullmatch, words))
+        heads = [m[1].lower() if self.folds else m[1] for m in found if m]
+        signed = [bool(m and m[2]) for m in found]
+        known = len(self.pieces)
+        head = np.fromiter(map(self.pieces.__getitem__, heads), np.int64, len(heads))
+        tail = np.fromiter((self.pieces[m[2]] for m, s in zip(found, signed, strict=True) if s), np.int64)
+        starts, sizes = self._learned(list(islice(self.pieces, known, None)), self._joined)
+        self.piece_starts, self.piece_sizes = np.concatenate([self.piece_starts, starts]), np.concatenate([self.piece_sizes, sizes])
+
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        simple = np.fromiter(map(bool, found), bool, len(words))
+        starts[simple], sizes[simple] = self.piece_starts[head], self.piece_sizes[head]
+        both = np.nonzero(np.array(signed, bool))[0]
+        if len(both):
+            pair = lambda a, b: np.stack([a, b], 1).reshape(-1)
+            ids, upto = _gather(self.ids, pair(starts[both], self.piece_starts[tail]), pair(sizes[both], self.piece_sizes[tail]))
+            starts[both], sizes[both] = len(self.ids) + upto[:-1:2], upto[2::2] - upto[:-1:2]
+            self.ids = np.concatenate([self.ids, ids])
+        other = np.nonzero(~simple)[0]
+        starts[other], sizes[other] = self._learned([words[i] for i in other], self._singly)
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; none for null."""
@@ -173,61 +221,110 @@ class WordEncoder:
         words = [t.split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
         lengths, known = np.fromiter(map(len, words), np.int64, len(words)), len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        del words
         self._learn(list(islice(self.codes, known, None)))
-        n = self.sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.starts[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        ids, upto = _gather(self.ids, self.starts[codes], self.sizes[codes])
         bounds = upto[np.concatenate([[0], np.cumsum(lengths)])].tolist()
         return (ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True))
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """Made once in a worker process: the tasks that it runs share the words it has met."""
+    return WordEncoder(path)
+
+
 def word_tokenizer(path: str) -> Callable[[], WordEncoder]:
-    """An encoder for write_tokens, made once in each task from a tokenizers file that drops white space."""
-    return lambda: WordEncoder(path)
+    """An encoder for write_tokens from a tokenizers file that drops white space."""
+    return lambda: word_encoder(path)
+
+
+def range_bounds(docs: DataFrame, ranges: int) -> np.ndarray:
+    """The least id of each but the first of about `ranges` ranges of docs.doc_id with as many rows each: Spark samples and
+    deals the ids, which are all that is shuffled, and a range's least comes back, 8 bytes for 32 MB of text."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [low for b in batches if (low := pa.compute.min(b.column("doc_id")).as_py()) is not None]
+        if found:
+            yield pa.record_batch([pa.array([min(found)], pa.int64())], ["least"])
+
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    return np.sort(np.array([r.least for r in ids.repartitionByRange(ranges, "doc_id").mapInArrow(least, "least long").collect()], np.int64))[1:]
+
+
+def encoded(docs: DataFrame, encoder: Callable, end_id: int | None, bounds: np.ndarray) -> DataFrame:
+    """(shard, doc_id, n_ids, ids) from docs (doc_id, text): the range of the document's id, and its ids with the end id,
+    little-endian, in two bytes each where all of them fit, four else (`n_ids` tells which)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        for b in slices(batches, limit=2 << 20):
+            sizes, packed = [], []
+            for own in encode(b.column("text")):
+                ids = np.concatenate([own, end])
+                sizes.append(len(ids))
+                packed.append(ids.astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes())
+            known = pa.compute.fill_null(b.column("doc_id"), np.iinfo(np.int64).min).to_numpy()
+            shard = np.searchsorted(bounds, known, side="right").astype(np.int32)
+            yield pa.record_batch([pa.array(shard), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["shard", "doc_id", "n_ids", "ids"])
+
+    return docs.mapInArrow(run, "shard int, doc_id long, n_ids long, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents in ascending order of their ids (null ids first) to the folder `path`.
 
-    Spark deals documents to ranges of ids; a range is encoded in order into file images of about a million ids, the rows of a
-    Parquet table (shard, seq, doc_ids, n_ids, image), so writing commits and retries like any table's, in any store. Null and
-    empty texts have the end id alone; repeated ids keep a row each; an empty table gives a table without images.
+    Documents are encoded where they lie, so ids are shuffled and not texts, to ranges of document ids, as many as the texts'
+    bytes ask for. A range is sorted and written as file images of about 2^17 ids, the rows of a Parquet table (shard,
+    seq, before, doc_ids, n_ids, image), so writing commits and retries like any table's, in any store. Null and empty texts
+    have the end id alone; repeated ids keep a row each, in one range; an empty table gives a table without images.
     """
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ranges = 1 + int(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, seq = encoder(), TaskContext.get().partitionId(), 0
+        word_encoder.cache_clear()  # its words have no more use in this worker
+        shard, seq, before = None, 0, 0
         ids, lengths, values, total = [], [], [], 0
-        end = np.array([] if end_id is None else [end_id], np.uint32)
 
         def row() -> pa.RecordBatch:
-            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([total], pa.int64())]
-            return pa.record_batch([*cols, pa.array([image(np.array(lengths), np.concatenate(values))], pa.binary())], ["shard", "seq", "doc_ids", "n_ids", "image"])
+            cols = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([total], pa.int64())]
+            return pa.record_batch([*cols, pa.array([image(np.array(lengths), np.concatenate(values))], pa.binary())], ["shard", "seq", "before", "doc_ids", "n_ids", "image"])
 
-        for b in slices(batches):
-            for i, own in zip(b.column("doc_id").to_pylist(), encode(b.column("text")), strict=True):
-                values += own, end
-                ids.append(i)
-                lengths.append(len(own) + len(end))
-                total += lengths[-1]
-                if total >= IMAGE:
+        for b in batches:
+            for of, i, n, packed in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "n_ids")), b.column("ids"), strict=True):
+                if ids and (total >= IMAGE or of != shard):
                     yield row()
-                    ids, lengths, values, total, seq = [], [], [], 0, seq + 1
+                    ids, lengths, values, before, total, seq = [], [], [], before + total, 0, seq + 1
+                if of != shard:
+                    shard, seq, before = of, 0, 0
+                own = packed.as_buffer()
+                values.append(np.frombuffer(own, "<u2" if own.size == 2 * n else "<u4") if n else np.zeros(0, np.uint32))
+                ids.append(i)
+                lengths.append(n)
+                total += n
         if ids:
             yield row()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = narrow.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(run, "shard int, seq int, doc_ids array<long>, n_ids long, image binary").write.mode("overwrite").parquet(path)
+    tokens = encoded(narrow, encoder, end_id, range_bounds(narrow, ranges))
+    dealt = tokens.repartition(ranges, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(run, "shard int, seq int, before long, doc_ids array<long>, n_ids long, image binary").write.mode("overwrite").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files of write_tokens, ids as unsigned 32-bit
-    little-endian integers (binary); start counts the ids of all documents before it."""
+    little-endian integers (binary), left out without `with_ids`; start counts the ids of all documents before it."""
     files = spark.read.parquet(path)
-    sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = sums.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("shard", "seq", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)).alias("own")).join(before, "shard").select("shard", "seq", (F.col("own") + F.col("base")).alias("start"))
+    sums = kept(files.groupBy("shard").agg(F.sum("n_ids").alias("n")), "token-shards")
+    # one row a range of documents: the window over all of them is small, and so is what is sent to the tasks
+    bases = sums.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if sums.count() <= BROADCAST_SHARDS else bases
+
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +334,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = memoryview(values.astype("<u4").tobytes())
                 to = np.cumsum(lengths)
                 at = to - lengths
-                for j in range(0, len(lengths), 4096):
-                    ids = [bytes(raw[4 * x : 4 * y]) for x, y in zip(at[j : j + 4096].tolist(), to[j : j + 4096].tolist(), strict=True)]
+                for j in range(0, len(lengths), 512):
+                    ids = [raw[4 * x : 4 * y] for x, y in zip(at[j : j + 512].tolist(), to[j : j + 512].tolist(), strict=True)]
                     crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-                    yield pa.record_batch([pa.array(b["doc_ids"][0][j : j + 4096], pa.int64()), pa.array(at[j : j + 4096] + b["start"][0]), pa.array(lengths[j : j + 4096]), crc, pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    cols = [pa.array(b["doc_ids"][0][j : j + 512], pa.int64()), pa.array(at[j : j + 512] + b["start"][0]), pa.array(lengths[j : j + 512]), crc]
+                    yield pa.record_batch(cols + ([pa.array(map(bytes, ids), pa.binary())] if with_ids else []), names)
 
-    rows = files.select("shard", "seq", "doc_ids", "image").join(starts, ["shard", "seq"])
-    return rows.select("doc_ids", "image", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    rows = files.join(bases, "shard").select("doc_ids", "image", (F.col("base") + F.col("before")).alias("start"))
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
