@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track visitors.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
+# Query parameters that only track visitors.
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "ref", "source", "from")
 
 
 def collapse(text: Column) -> Column:
@@ -15,7 +15,8 @@ def collapse(text: Column) -> Column:
 
 
 def normal_title(text: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(text), r"[^a-z0-9_ \-/]", " "))
+    """Lower case; letters, digits, _, - and / of any script stay, all else becomes a space."""
+    return collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s\-/]", " "))
 
 
 def token_set(text: Column, least: int = 3) -> Column:
@@ -37,12 +38,12 @@ def slug(text: Column) -> Column:
 
 
 def signal(text: Column) -> Column:
-    return F.upper(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"))
+    return F.regexp_replace(F.upper(F.regexp_replace(text, "[^A-Za-z0-9]+", "_")), "^_+|_+$", "")
 
 
 def decimal_of(text: Column) -> Column:
-    """A decimal from a number with spaces and a decimal comma; null if there is none."""
-    return F.regexp_replace(F.regexp_replace(text, "[  ]", ""), ",", ".").try_cast("decimal(18,2)")
+    """A decimal of all digits, signs and points of a text, a comma being a point; null if that is no number."""
+    return F.regexp_replace(F.regexp_replace(text, ",", "."), r"[^0-9.\-]", "").try_cast("decimal(18,2)")
 
 
 def host_of(url: Column) -> Column:
@@ -50,12 +51,13 @@ def host_of(url: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """Lower-case scheme and host without www., no fragment, no tracking parameters, no slash at the end."""
+    """Lower-case scheme and host without www., no fragment, no tracking parameters, no slash at the end but the root's."""
     base = F.regexp_extract(url, r"^([^?#]*)", 1)
     scheme, rest = F.lower(F.regexp_extract(base, "^([A-Za-z]+)://", 1)), F.regexp_extract(base, "^[A-Za-z]+://[^/]*(.*)$", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING)), "&")
-    path = F.regexp_replace(rest, "/+$", "")
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.regexp_extract(p, "^([^=]*)", 1)).isin(*TRACKING)), "&")
+    bare = F.regexp_replace(rest, "/+$", "")
+    path = F.when(bare == "", "/").otherwise(bare)
     return F.concat(scheme, F.lit("://"), host_of(url), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
@@ -68,3 +70,11 @@ def stripped_html(html: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
+
+
+def is_private(url: Column) -> Column:
+    """Whether a url names this machine, a private network or no web address."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    net = host.rlike(r"^(10\.[0-9]{1,3}|192\.168|172\.(1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}")
+    return host.isin("localhost", "127.0.0.1", "[::1]", "0.0.0.0") | net | scheme.isin("file", "ftp", "chrome", "about")

@@ -53,3 +53,16 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
     per = both.filter("id is not null and trim(id) <> ''").groupBy(F.trim("id").alias("id")).agg(F.max("e").alias("e"), F.max("o").alias("o"))
     s = per.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("expected"), F.coalesce(F.sum("o"), F.lit(0)).alias("observed"), F.count_if(F.expr("e = 1 and o = 0")).alias("missing"), F.count_if(F.expr("e = 0 and o = 1")).alias("unexpected"))
     return s.withColumn("is_match", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """(keys..., p, value): the value at rank ceil(p / 100 * n), at least the first, for each percentage.
+
+    Values are counted before they are ranked, so a group's rows never meet in one task; its distinct values do.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).count()
+    w = Window.partitionBy(*keys)
+    cum = counts.withColumn("upto", F.sum("count").over(w.orderBy(value))).withColumn("n", F.sum("count").over(w))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("n"))), F.col(value)))
+    found = cum.groupBy(*keys).agg(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("value")) for p in percents)).alias("all"))
+    return found.select(*keys, F.inline("all"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strings
 from ..operators import rows
 from .registry import Tables, query
 
@@ -87,10 +88,16 @@ def filter_compound_first(t: Tables) -> DataFrame:
     return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-@query("select page_id from pages where not regexp_matches(url, '^https?://') or regexp_matches(lower(url), '^https?://(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)')")
+HOSTS = ("http://localhost:8080/a", "https://127.0.0.1/x", "http://[::1]/", "http://0.0.0.0", "http://10.1.2.3/a", "http://172.16.0.9", "http://172.32.0.1", "http://192.168.5.5/q", "http://127.0.0.2/", "file:///etc/hosts", "ftp://x.org/a", "about:blank", "https://user@192.168.1.1:80/", "http://10.example.org/")
+
+
+@query("with u(url) as (select url from pages union all values " + ", ".join(f"('{h}')" for h in HOSTS) + """), h as (select url, split_part(url, ':', 1) s,
+ regexp_extract(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^.*@', ''), '^(\\[.*\\]|[^:]*)') h from u)
+ select url from h where s in ('file', 'ftp', 'chrome', 'about') or h in ('localhost', '127.0.0.1', '[::1]', '0.0.0.0') or (regexp_matches(h, '^[0-9.]+$') and (starts_with(h, '10.') or starts_with(h, '192.168.')
+ or (starts_with(h, '172.') and try_cast(split_part(h, '.', 2) as int) between 16 and 31)))""")
 def filter_private_url(t: Tables) -> DataFrame:
-    private = F.lower("url").rlike(r"^https?://(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-    return t.pages.filter(~F.col("url").rlike("^https?://") | private).select("page_id")
+    urls = t.pages.select("url").union(t.spark.createDataFrame([(h,) for h in HOSTS], "url string"))
+    return urls.filter(strings.is_private(F.col("url")))
 
 
 @query("select c_custkey, case when c_mktsegment = 'BUILDING' then '***' else c_name end shown from customer")

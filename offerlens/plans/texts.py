@@ -17,7 +17,7 @@ def str_normalize_ws(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", strings.collapse(F.col("text")).alias("clean"), strings.sha256(F.col("text")).alias("content_hash"))
 
 
-@query("select p_partkey, " + COLLAPSED.format("regexp_replace(lower(p_name), '[^a-z0-9_ \\-/]', ' ', 'g')") + " title, upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) signal, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') slug from part")
+@query("select p_partkey, " + COLLAPSED.format("regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_\\s\\-/]', ' ', 'g')") + " title, trim(upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')), '_') signal, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') slug from part")
 def str_normalize_title(t: Tables) -> DataFrame:
     n = F.col("p_name")
     return t.part.select("p_partkey", strings.normal_title(n).alias("title"), strings.signal(F.col("p_type")).alias("signal"), strings.slug(n).alias("slug"))
@@ -29,9 +29,10 @@ def str_tokenize_set(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(strings.token_set(x)).cast("long").alias("n_tokens"), strings.token_estimate(x).alias("estimate"), strings.preview(x).alias("preview"))
 
 
-@query("""select o_orderkey, replace(replace(printed, ' ', ''), ',', '.')::decimal(18,2)::double amount from (select o_orderkey, replace(format('{:.2f}', o_totalprice), '.', ',') printed from orders)""")
+@query("select o_orderkey, round(o_totalprice::decimal(18,4), 2)::double amount from orders")
 def num_parse_decimal(t: Tables) -> DataFrame:
-    printed = F.regexp_replace(F.format_string("%.2f", "o_totalprice"), "\\.", ",")
+    """Amounts as price lists print them: spaces between thousands, a decimal comma, a currency behind."""
+    printed = F.concat(F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,4)"), 2), ",.", " ,"), F.lit(" ₽"))
     return t.orders.select("o_orderkey", strings.decimal_of(printed).cast("double").alias("amount"))
 
 
@@ -56,8 +57,8 @@ def date_diff_days(t: Tables) -> DataFrame:
 
 
 URL_SQL = r"""with u as (select page_id, regexp_extract(url, '^([^?#]*)', 1) base, regexp_extract(url, '\?([^#]*)', 1) q, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') host from pages),
- k as (select page_id, host, lower(regexp_extract(base, '^([A-Za-z]+)://', 1)) || '://' || host || regexp_replace(regexp_extract(base, '^[A-Za-z]+://[^/]*(.*)$', 1), '/+$', '') head,
-  array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' and regexp_extract(p, '^([^=]*)', 1) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref')), '&') q from u)
+ k as (select page_id, host, lower(regexp_extract(base, '^([A-Za-z]+)://', 1)) || '://' || host || coalesce(nullif(regexp_replace(regexp_extract(base, '^[A-Za-z]+://[^/]*(.*)$', 1), '/+$', ''), ''), '/') head,
+  array_to_string(list_filter(string_split(q, '&'), lambda p: p <> '' and lower(regexp_extract(p, '^([^=]*)', 1)) not in ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'yclid', 'mc_cid', 'mc_eid', 'ref', 'source', 'from')), '&') q from u)
  select page_id, host, head || case when q = '' then '' else '?' || q end url, sha256(head || case when q = '' then '' else '?' || q end) url_hash from k"""
 
 
