@@ -139,10 +139,10 @@ class WordEncoder:
     encodes new pieces joined by spaces, as their last tokens tell them apart; other words it encodes one by one.
     """
 
-    def __init__(self, path: str, remembered: int = 3 << 17, suffix: str = "</w>"):
+    def __init__(self, path: str, remembered: int = 1 << 18, suffix: str = "</w>"):
         # tasks are the unit of parallel work; threads of the library's own would only compete with them
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         vocabulary = self.tokenizer.get_vocab()
@@ -150,6 +150,12 @@ class WordEncoder:
         self.is_last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         #: whether letters of either case have the same ids
         self.folds = all(np.array_equal(*(self._singly([x])[0] for x in (c, c.lower()))) for c in LETTERS)
+        #: the same model for pieces that are letters in lower case or signs: they need no normalising and no search for cuts
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = [LETTERS.lower(), *LETTERS.lower(), "the", "straße", *(chr(c) * 2 for c in range(33, 48) if c != 39), "...", "?!", "&&&"]
+        if not self.folds or not np.array_equal(self._joined(probe)[0], self._singly(probe)[0]):
+            self.plain = self.tokenizer
         #: by a word's code: where its ids start in `ids`, and how many they are; the same for pieces
         self.codes: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -174,7 +180,7 @@ class WordEncoder:
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, list[int]]:
         """(ids of all pieces, how many each has); one by one where the tokenizer cuts them further."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.nonzero(self.is_last[ids])[0]
         if len(ends) != len(pieces) or ends[-1] != len(ids) - 1:
             return self._singly(pieces)
@@ -218,6 +224,8 @@ class WordEncoder:
         """The ids of each text; none for null."""
         if len(self.codes) > self.remembered:
             self._forget()
+        if len(self.pieces) > self.remembered // 2:
+            self._forget_pieces()
         words = [t.split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
         lengths, known = np.fromiter(map(len, words), np.int64, len(words)), len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
@@ -261,7 +269,7 @@ def encoded(docs: DataFrame, encoder: Callable, end_id: int | None, bounds: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         end = np.array([] if end_id is None else [end_id], np.uint32)
-        for b in slices(batches, limit=2 << 20):
+        for b in slices(batches, limit=1 << 20):
             sizes, packed = [], []
             for own in encode(b.column("text")):
                 ids = np.concatenate([own, end])
