@@ -318,7 +318,7 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int | No
             yield row()
 
     tokens = encoded(narrow, encoder, end_id, range_bounds(narrow, ranges))
-    dealt = tokens.repartition(ranges, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.repartitionById(ranges, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     with small_batches(docs.sparkSession):
         dealt.mapInArrow(run, "shard int, seq int, before long, doc_ids array<long>, n_ids long, image binary").write.mode("overwrite").parquet(path)
 
