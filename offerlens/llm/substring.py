@@ -18,44 +18,65 @@ from .text import slices
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Bits:
+    """A packed row of bits with a count of ones before each 64 of them."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return ((self.words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    def rank(self, to: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = to >> 6
+        mask = (np.uint64(1) << (to & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word] + np.bitwise_count(self.words[word] & mask)
+
+
 class WaveletTree:
-    """A sequence of symbols below 2^levels, level by level: at level l, stably ordered by its top l bits, one packed bit a
-    symbol, and a count of ones before each 64 of them."""
+    """A sequence of symbols below 2^levels, level by level: at level l, stably ordered by its top l bits, one bit a symbol."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
-        self.levels, n = max(1, levels), len(symbols)
+        self.levels = max(1, levels)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1 << self.levels))])
-        self.bits, self.ones = [], []
+        self.bits = []
         for level in range(self.levels):
             order = np.argsort(symbols >> (self.levels - level), kind="stable") if level else slice(None)
-            bit = (symbols[order] >> (self.levels - 1 - level)) & 1
-            padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-            padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.bits.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
-
-    def _ones(self, level: int, to: np.ndarray) -> np.ndarray:
-        word = to >> 6
-        mask = (np.uint64(1) << (to & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ones[level][word] + np.bitwise_count(self.bits[level][word] & mask)
+            self.bits.append(Bits((symbols[order] >> (self.levels - 1 - level)) & 1))
 
     def rank(self, symbol: np.ndarray, to: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place."""
         start, to = np.zeros_like(to), to.copy()
-        for level in range(self.levels):
+        for level, bits in enumerate(self.bits):
             shift = self.levels - 1 - level
-            ones = self._ones(level, start + to) - self._ones(level, start)
+            ones = bits.rank(start + to) - bits.rank(start)
             to = np.where((symbol >> shift) & 1, ones, to - ones)
             start = self.below[(symbol >> shift) << shift]
         return to
 
+    def ranked(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it occurs before that place."""
+        start, to, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
+        for level, bits in enumerate(self.bits):
+            bit, ones = bits.at(start + to), bits.rank(start + to) - bits.rank(start)
+            to, symbol = np.where(bit, ones, to - ones), symbol * 2 + bit
+            start = self.below[symbol << (self.levels - 1 - level)]
+        return symbol, to
+
 
 class FmIndex:
-    """Texts over word ids 1.., each closed by a 0 that sorts as a symbol of its own, so that the order of suffixes is full."""
+    """Texts over word ids 1.., each closed by a 0 that sorts as a symbol of its own, so that the order of suffixes is full.
+
+    What is kept is the wavelet tree of the Burrows-Wheeler transform and a sample of the suffix array: the places of each
+    text's first word and of every `sample`-th after it. Other places are found by walking back to a sampled one.
+    """
 
-    def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
+    def __init__(self, text: np.ndarray, sample: int = 16):
+        self.size = n = len(text)
         ends = text == 0
         rank = np.where(ends, np.cumsum(ends) - 1, text + ends.sum() - 1)
         step = 1
@@ -67,55 +88,98 @@ class FmIndex:
             rank, step = new, step * 2
             if n == 0 or rank[order[-1]] == n - 1:
                 break
-        self.order = order
         self.tree = WaveletTree(text[order - 1], int(text.max()).bit_length())
         self.before = self.tree.below
+        first = np.concatenate([[0], np.nonzero(ends)[0][:-1] + 1])
+        held = ((np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))) % sample == 0)[order]
+        self.held, self.places = Bits(held), order[held].astype(np.int32)
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search for many patterns: the suffixes that start with symbol and go on as those in [lo, hi)."""
         at = self.before[symbol]
         return at + self.tree.rank(symbol, lo), at + self.tree.rank(symbol, hi)
 
-    def repeats(self, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For windows of the text that end at `ends`: (which occur elsewhere too, lo, hi of their suffixes). A window whose
-        match is itself alone goes out at once, so the search is as long as matches are."""
-        at, lo, hi = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
-        for back in range(window):
-            lo, hi = self.extend(lo, hi, self.text[ends[at] - back])
-            more = hi - lo > 1
+    def search(self, text: np.ndarray, ends: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Match statistics of a streamed text: how many words up to each of `ends` occur, one after another, at `least` places
+        or more of the index, looking back `lengths` words at most; and of the ends that get so far, (which, lo, hi) of the
+        suffixes that start with these words. An end whose match breaks off goes out at once."""
+        reached = np.zeros(len(ends), np.int64)
+        at, lo, hi = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        done = []
+        while len(at):
+            full = reached[at] == lengths[at]
+            done.append((at[full], lo[full], hi[full]))
+            at, lo, hi = at[~full], lo[~full], hi[~full]
+            lo, hi = self.extend(lo, hi, text[ends[at] - reached[at]])
+            more = hi - lo >= least
             at, lo, hi = at[more], lo[more], hi[more]
-        return at, lo, hi
-
-
-def shard_repeats(doc: np.ndarray, start: np.ndarray, texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of these segments whose words also start earlier in one of them."""
+            reached[at] += 1
+        return reached, *(np.concatenate([np.zeros(0, np.int64), *c]) for c in list(zip(*done, strict=True)) or [()] * 3)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places in the text of suffixes, by their rows in the order of suffixes."""
+        places, at = np.empty(len(rows), np.int64), np.arange(len(rows))
+        rows, steps = rows.copy(), 0
+        while len(at):
+            here = self.held.at(rows) == 1
+            places[at[here]] = self.places[self.held.rank(rows[here])] + steps
+            at, rows = at[~here], rows[~here]
+            symbol, before = self.tree.ranked(rows)
+            rows, steps = self.before[symbol] + before, steps + 1
+        return places
+
+
+def shard_matches(doc: np.ndarray, start: np.ndarray, rows: np.ndarray, texts: list[str], window: int, streamed: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a shard's index says of its texts, different runs of words that start at (doc, start) and stand in `rows` places:
+    (text, first word, length, copies), with copies true for the whole of a text that stands in several places, as found in the
+    index, and false for a run of words covered by windows that also start earlier in one of the texts.
+
+    The index is made first; then the texts are streamed through it, `streamed` at a time, for their match statistics.
+    """
     ids: dict[str, int] = {}
-    coded, owner, place, ends, n = [], [], [], [], 0
-    for i, t in enumerate(texts):
-        words = t.split(" ")
-        coded += [ids.setdefault(w, len(ids) + 1) for w in words]
-        coded.append(0)
-        owner.append(np.full(len(words) + 1, i))
-        place.append(np.arange(len(words) + 1))
-        ends.append(np.arange(n + window - 1, n + len(words)))
-        n += len(words) + 1
-    owner, place, ends = np.concatenate(owner), np.concatenate(place), np.concatenate(ends)
-    index = FmIndex(np.array(coded, np.int64))
-    first = np.empty(n, np.int64)
-    by_place = np.lexsort((start[owner] + place, doc[owner]))
-    # equal places (repeated rows) share a rank, so neither counts as earlier
-    d, s = doc[owner][by_place], (start[owner] + place)[by_place]
-    first[by_place] = np.cumsum(np.concatenate([[0], (np.diff(d) != 0) | (np.diff(s) != 0)]))
-    at, lo, hi = index.repeats(ends, window)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    spans, back = np.unique(lo, return_inverse=True)
-    stop = np.empty(len(spans), np.int64)
-    stop[back] = hi
-    least = np.minimum.reduceat(np.append(first[index.order], np.iinfo(np.int64).max), np.stack([spans, stop], 1).reshape(-1))[::2]
-    own = ends[at] - window + 1
-    later = own[first[own] > least[back]]
-    return doc[owner[later]], start[owner[later]] + place[later]
+
+    def coded(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [[ids.setdefault(w, len(ids) + 1) for w in t.split(" ")] for t in some]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        flat = np.fromiter((i for p in parts for i in (*p, 0)), np.int64, int(sizes.sum()))
+        return flat, np.cumsum(sizes) - sizes
+
+    text, first = coded(texts)
+    index = FmIndex(text)
+    del text
+    of_doc = np.unique(doc, return_inverse=True)[1].astype(np.int64)
+
+    def key(owner: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return (of_doc[owner] << 32) + start[owner] + offset
+
+    found = []
+    for base in range(0, len(texts), streamed):
+        text, own = coded(texts[base : base + streamed])
+        sizes = np.diff(np.append(own, len(text))) - 1
+        copied = np.nonzero(rows[base : base + streamed] > 1)[0]
+        reached = index.search(text, own[copied] + sizes[copied] - 1, sizes[copied], 1)[0]
+        found.append((base + copied, np.zeros(len(copied), np.int64), reached, np.ones(len(copied), bool)))
+
+        owner = np.repeat(np.arange(len(own)), np.maximum(sizes - window + 1, 0))
+        ends = np.arange(len(owner)) - np.searchsorted(owner, owner) + own[owner] + window - 1
+        _, at, lo, hi = index.search(text, ends, np.full(len(ends), window), 2)
+        if not len(at):
+            continue
+        spans, back = np.unique(lo, return_inverse=True)
+        stop = np.empty(len(spans), np.int64)
+        stop[back] = hi
+        n = stop - spans
+        places = index.locate(np.repeat(spans, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        holder = np.searchsorted(first, places, side="right") - 1
+        least = np.minimum.reduceat(key(holder, places - first[holder]), np.cumsum(n) - n)
+        offset = ends[at] - window + 1 - own[owner[at]]
+        later = least[back] < key(base + owner[at], offset)
+        who, offset = base + owner[at][later], offset[later]
+        by = np.lexsort((offset, who))
+        who, offset = who[by], offset[by]
+        new = np.nonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(offset) != 1)]))[0] if len(who) else np.zeros(0, np.int64)
+        found.append((who[new], offset[new], np.diff(np.append(new, len(who))) + window - 1, np.zeros(len(new), bool)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -167,67 +231,72 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 8, shard_rows: int = 8192, hot: int = 4096) -> DataFrame:
     """(doc_id, start, length): spans of words covered by windows that also start earlier, from docs (doc_id, text).
 
-    Windows are dealt out by their anchors (see segments), so equal windows meet. An anchor that occurs once is done with. Of
-    equal segments, all but the first are spans as a whole. The distinct segments of an anchor that has several go, as text,
-    to the anchor's shard, whose FM-index finds the windows that they share. Of an anchor with more than `hot` of them the
-    windows are combined one by one, by 128 bits of hashes of their words, to the first of each, so that no shard grows with
-    one passage. Keys that hold many rows are joined where their rows lie (see keyed_join).
+    Windows are dealt out by their anchors (see segments), so equal windows meet. An anchor that occurs once is done with.
+    Equal segments of the others are combined before the shuffle, by 128 bits of hashes (anchor and segment), to the first and
+    their number, and each goes once, as text, to the anchor's shard, whose FM-index is searched for it: the match of the whole
+    holds for all later copies, and that of its windows for the first. The segments of an anchor with more than `hot` different
+    ones are cut into windows, which are combined and looked up in the same way; windows and repeated segments of such an
+    anchor go to shards by hashes of their own, so that no shard grows with one passage. Keys that hold many rows are joined where their rows lie (see keyed_join).
     """
     docs = docs.filter("doc_id is not null and text is not null")
     every = segments(docs, window, gram)
     several = kept(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "window-anchors")
     some = kept(every.join(several, "anchor", "left_semi"), "window-segments")
-    first = kept(some.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("rows")), "window-firsts")
-    rows = first.agg(F.sum("rows")).first()[0] or 0
-    length = lambda p: (p.bitwiseAND(255) + (window - 1)).alias("length")
-    start = lambda p: F.shiftright(p, 8).alias("start")
-    # a segment that occurs once has no later copy
-    later = keyed_join(some, first.filter("rows > 1"), ["anchor", "seg"], "rows", rows).filter(F.struct("doc_id", "place") != F.col("first")).select("doc_id", start(F.col("place")), length(F.col("place")))
-
-    counts = kept(first.groupBy("anchor").agg(F.count("*").alias("segs")).filter("segs > 1"), "window-contested")
-    contested = first.join(counts, "anchor").select("anchor", "first.doc_id", "first.place", (F.col("segs") > hot).alias("hot"))
-    total = counts.agg(F.sum("segs")).first()[0] or 0
-    shards = max(1, -(-total // shard_rows))
-    of_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("parts"))
+    combine = lambda rows: rows.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("rows"))
+    first = kept(combine(some).withColumn("deal", F.col("anchor")), "window-firsts")
+    narrow = docs.select("doc_id", "text")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_doc(rows: DataFrame) -> DataFrame:
+        """The texts of the documents of rows (anchor, seg, first, rows, deal), with these as `parts`."""
+        part = F.struct("anchor", "seg", F.col("first.place").alias("place"), "rows", "deal")
+        return narrow.join(rows.groupBy("first.doc_id").agg(F.collect_list(part).alias("parts")), "doc_id")
+
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 20):
             found = []
             for i, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 words = text.encode().split()
                 for p in parts:
-                    s, n = p["place"] >> 8, p["place"] & 255
-                    found.append((p["anchor"] % shards, i, s, b" ".join(words[s : s + n + window - 1]).decode()))
-            cols = list(zip(*found, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "doc_id", "start", "words"])
+                    s = p["place"] >> 8
+                    for j in range(s, s + (p["place"] & 255)):
+                        t = b" ".join(words[j : j + window])
+                        found.append((xxh64_intdigest(t) - (1 << 63), xxh64_intdigest(t, 1) - (1 << 63), i, j << 8 | 1))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in list(zip(*found, strict=True)) or [[]] * 4], ["anchor", "seg", "doc_id", "place"])
+
+    contested = kept(first.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot-anchors")
+    if not contested.isEmpty():
+        # windows of the first of equal segments: their later copies are found as a whole
+        cut_up = first.join(contested, "anchor", "left_semi")
+        windows = kept(of_doc(cut_up).mapInArrow(singly, "anchor long, seg long, doc_id long, place long"), "hot-windows")
+        parts = combine(windows).filter("rows > 1").withColumn("deal", F.col("anchor"))
+        wholes = cut_up.filter("rows > 1").withColumn("deal", F.col("seg"))
+        first = kept(first.join(contested, "anchor", "left_anti").unionByName(parts).unionByName(wholes), "window-all-firsts")
+        some = some.union(windows)
+    total, rows = first.agg(F.count("*"), F.sum("rows")).first()
+    shards = max(1, -(-total // shard_rows))
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=1 << 20):
             found = []
             for i, text, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 words = text.encode().split()
                 for p in parts:
-                    s = p["place"] >> 8
-                    for j in range(s, s + (p["place"] & 255)):
-                        t = b" ".join(words[j : j + window])
-                        found.append((xxh64_intdigest(t) - (1 << 63), xxh64_intdigest(t, 1) - (1 << 63), i, j))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in list(zip(*found, strict=True)) or [[]] * 4], ["w1", "w2", "doc_id", "start"])
+                    s, n = p["place"] >> 8, p["place"] & 255
+                    found.append((p["deal"] % shards, p["anchor"], p["seg"], i, s, p["rows"], b" ".join(words[s : s + n + window - 1]).decode()))
+            cols = list(zip(*found, strict=True)) or [[]] * 7
+            types = (pa.int32(), *[pa.int64()] * 5, pa.string())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "anchor", "seg", "doc_id", "start", "rows", "words"])
 
     def search(_: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        doc, at = shard_repeats(t["doc_id"].to_numpy(), t["start"].to_numpy(), t["words"].tolist(), window)
-        return pd.DataFrame({"doc_id": doc, "start": at, "length": np.full(len(at), window)})
-
-    narrow = docs.select("doc_id", "text")
-    texts = narrow.join(of_doc(contested.filter("not hot")), "doc_id").mapInArrow(cut, "shard int, doc_id long, start long, words string")
-    shared = texts.groupBy("shard").applyInPandas(search, "doc_id long, start long, length long")
-    out = later.select("doc_id", "start", F.col("length").cast("long")).union(shared)
-    if counts.filter(F.col("segs") > hot).isEmpty():
-        return out
-    windows = kept(narrow.join(of_doc(contested.filter("hot")), "doc_id").mapInArrow(single, "w1 long, w2 long, doc_id long, start long"), "hot-windows")
-    firsts = kept(windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "hot-firsts")
-    again = keyed_join(windows, firsts, ["w1", "w2"], "rows", firsts.agg(F.sum("rows")).first()[0] or 0)
-    again = again.filter(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", F.lit(window).cast("long").alias("length"))
-    return out.union(again)
+        doc, start, n = (t[c].to_numpy() for c in ("doc_id", "start", "rows"))
+        who, offset, length, copies = shard_matches(doc, start, n, t["words"].tolist(), window)
+        return pd.DataFrame({"anchor": t["anchor"].to_numpy()[who], "seg": t["seg"].to_numpy()[who], "doc_id": doc[who], "start": start[who] + offset, "length": length, "rows": np.where(copies, n[who], 0)})
+
+    texts = of_doc(first).mapInArrow(cut, "shard int, anchor long, seg long, doc_id long, start long, rows long, words string")
+    found = kept(texts.groupBy("shard").applyInPandas(search, "anchor long, seg long, doc_id long, start long, length long, rows long"), "window-matches")
+    copies = found.filter("rows > 0").select("anchor", "seg", F.struct("doc_id", "start").alias("first"), "length", "rows")
+    again = keyed_join(some.select("anchor", "seg", "doc_id", F.shiftright("place", 8).alias("start")), copies, ["anchor", "seg"], "rows", rows or 0)
+    return found.filter("rows = 0").select("doc_id", "start", "length").union(again.filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "length"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, **options) -> DataFrame:
