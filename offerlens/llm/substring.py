@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -38,34 +40,37 @@ class Bits:
 
 
 class WaveletTree:
-    """A sequence of symbols below 2^levels, level by level: at level l, stably ordered by its top l bits, one bit a symbol."""
+    """A sequence of symbols below 2^levels, top bit first, one bit a symbol and level. A level's nodes lie by their bits read
+    backwards (a wavelet matrix), so that one count of ones leads from a place to its place on the next level."""
 
     def __init__(self, symbols: np.ndarray, levels: int):
         self.levels = max(1, levels)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1 << self.levels))])
-        self.bits = []
+        self.bits, self.zeros = [], []
         for level in range(self.levels):
-            order = np.argsort(symbols >> (self.levels - level), kind="stable") if level else slice(None)
-            self.bits.append(Bits((symbols[order] >> (self.levels - 1 - level)) & 1))
+            bit = (symbols >> (self.levels - 1 - level)) & 1
+            self.bits.append(Bits(bit))
+            up = bit == 1
+            self.zeros.append(len(symbols) - int(up.sum()))
+            symbols = np.concatenate([symbols[~up], symbols[up]])
+        new = np.nonzero(np.concatenate([[True], np.diff(symbols) != 0]))[0] if len(symbols) else np.zeros(0, np.int64)
+        self.start = np.zeros(1 << self.levels, np.int64)
+        self.start[symbols[new]] = new
 
     def rank(self, symbol: np.ndarray, to: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each place."""
-        start, to = np.zeros_like(to), to.copy()
+        """How often each symbol, of those in the sequence, occurs before each place."""
         for level, bits in enumerate(self.bits):
-            shift = self.levels - 1 - level
-            ones = bits.rank(start + to) - bits.rank(start)
-            to = np.where((symbol >> shift) & 1, ones, to - ones)
-            start = self.below[(symbol >> shift) << shift]
-        return to
+            ones = bits.rank(to)
+            to = np.where((symbol >> (self.levels - 1 - level)) & 1, self.zeros[level] + ones, to - ones)
+        return to - self.start[symbol]
 
     def ranked(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it occurs before that place."""
-        start, to, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
+        symbol = np.zeros_like(at)
         for level, bits in enumerate(self.bits):
-            bit, ones = bits.at(start + to), bits.rank(start + to) - bits.rank(start)
-            to, symbol = np.where(bit, ones, to - ones), symbol * 2 + bit
-            start = self.below[symbol << (self.levels - 1 - level)]
-        return symbol, to
+            bit, ones = bits.at(at), bits.rank(at)
+            at, symbol = np.where(bit, self.zeros[level] + ones, at - ones), symbol * 2 + bit
+        return symbol, at - self.start[symbol]
 
 
 class FmIndex:
@@ -136,13 +141,13 @@ def shard_matches(doc: np.ndarray, start: np.ndarray, rows: np.ndarray, texts: l
 
     The index is made first; then the texts are streamed through it, `streamed` at a time, for their match statistics.
     """
-    ids: dict[str, int] = {}
+    ids: dict[str, int] = defaultdict(count().__next__)
+    ids[""]  # the nothing between two texts: 0, their end
 
     def coded(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [[ids.setdefault(w, len(ids) + 1) for w in t.split(" ")] for t in some]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        flat = np.fromiter((i for p in parts for i in (*p, 0)), np.int64, int(sizes.sum()))
-        return flat, np.cumsum(sizes) - sizes
+        words = ("  ".join(some) + " ").split(" ")
+        flat = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return flat, np.concatenate([[0], np.nonzero(flat == 0)[0][:-1] + 1])
 
     text, first = coded(texts)
     index = FmIndex(text)
