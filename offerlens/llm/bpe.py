@@ -246,11 +246,13 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: digests of its ids and of the bytes decoded from them.
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: digests of its ids and of the bytes decoded from them;
+    `with_ids` adds the ids, as `encoded` gives them.
 
     Null texts count as empty: no ids, the digests of nothing. Repeated rows give repeated rows; texts of any length are taken
     whole; an empty table gives an empty result; other columns are not read.
     """
     both = decoded(encoded(docs, path, pattern), path)
-    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), *digests, *(["ids"] if with_ids else []))

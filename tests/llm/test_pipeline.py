@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import DATA, awkward, clashing, roots, rows_of, words
@@ -117,6 +118,8 @@ def test_whole_pipeline_stage_by_stage(spark):
     got = Counter(r.doc_id for r in mix.collect() if words(r.text))
     assert got == Counter({i: n for i, n in times.items() if n})
     e = encoding()
-    want = sorted(((r.doc_id, len(e.encode_ordinary(r.text or "")), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in mix.collect()), key=repr)
-    assert rows_of(p.run(spark, folder), "doc_id", "n_tokens", "decoded_sha256") == want
+    ids = [(r, e.encode_ordinary(r.text or "")) for r in mix.collect()]
+    want = sorted(((r.doc_id, len(i), hashlib.sha256((r.text or "").encode()).hexdigest(), np.array(i, "<u4").tobytes()) for r, i in ids), key=repr)
+    got = [(*r[:3], bytes(r[3])) for r in p.run(spark, folder).select("doc_id", "n_tokens", "decoded_sha256", "ids").collect()]
+    assert sorted(got, key=repr) == want
     assert RANKS == public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
