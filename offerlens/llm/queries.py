@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embeddings, lines, mixing, quality, simhash, substring, token_counts, token_files, urls
+from . import bpe, embeddings, html_text, lines, mixing, quality, simhash, substring, token_counts, token_files, urls
 from .storage import kept, new_path, small_batches
 
 
@@ -79,7 +79,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return kept(token_files.read_tokens(spark, path, with_ids=False), "token-rows")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files)}
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files, op11_html)}
 
 EMBEDDINGS_SQL = """
 with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
