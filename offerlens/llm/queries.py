@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embeddings, html_text, lines, mixing, quality, simhash, substring, token_counts, token_files, urls, vector_codes
+from . import bpe, embeddings, html_text, lexical, lines, mixing, quality, simhash, substring, token_counts, token_files, urls, vector_codes
 from .storage import kept, new_path, small_batches
 
 
@@ -87,7 +87,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files, op11_html, op12_vector_codes)}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_embeddings, op4_substring, op5_mixing, op6_urls, op7_line_dedup, op8_token_counts, op9_bpe, op10_token_files, op11_html, op12_vector_codes, op13_lexical)}
 
 EMBEDDINGS_SQL = """
 with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
@@ -99,4 +103,4 @@ r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(c, vec_id)) component_id, vec_id = least(vec_id, coalesce(c, vec_id)) kept
 from embeddings left join (select a, count(*) n from e group by 1) n on n.a = vec_id left join (select a, min(b) c from r group by 1) r on r.a = vec_id"""
 
-ORACLES = {"op3_embeddings": EMBEDDINGS_SQL, "op5_mixing": mixing.SQL, "op6_urls": urls.SQL, "op7_line_dedup": lines.SQL, "op12_vector_codes": vector_codes.SQL}
+ORACLES = {"op3_embeddings": EMBEDDINGS_SQL, "op5_mixing": mixing.SQL, "op6_urls": urls.SQL, "op7_line_dedup": lines.SQL, "op12_vector_codes": vector_codes.SQL, "op13_lexical": lexical.SQL}
