@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL twin."""
 
-from . import decisions, events, offers, registers, relational, texts  # noqa: F401
+from . import decisions, events, matching, offers, registers, relational, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
