@@ -15,9 +15,9 @@ STATS = ("s_word", "s_symbol", "s_punct", "s_upper")
 P = len(STATS)
 #: Least spread of a statistic, so that a group in which one never varies does not reject at the first difference.
 FLOOR = 0.05
-#: Squared distance beyond which a text is an outlier: 15 robust standard deviations, since short texts vary far more than a
-#: normal sample does.
-CUTOFF = 15.0**2
+#: Squared distance beyond which a text is an outlier. Measured on the labelled texts that pass the base rules: at 1,000 documents all
+#: 27 of low quality lie beyond it and none of the 327 good ones, at 10,000 documents all 291 and 10 of 3,243.
+CUTOFF = 50.0
 #: Steps of a distance's logarithm in which subsets are cut.
 STEPS = 32
 #: Rows for which medians and spreads of all groups together count in each group's own: twice what a covariance needs to be regular.
