@@ -23,15 +23,6 @@ def rate_limit_min_interval(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(gap >= 60_000_000, F.lit(True)).alias("allowed"))
 
 
-@query("""select user_id, arg_max(value, (ts, event_id)) filter (event_type = 'purchase') last_amount, case arg_max(event_type, (ts, event_id)) when 'purchase' then 'PAID' when 'error' then 'OVERDUE' else 'PENDING' end status, count(*) filter (event_type = 'error') alerts from events group by 1""")
-def state_register_event(t: Tables) -> DataFrame:
-    at = F.struct("ts", "event_id")
-    kind = F.col("event_type")
-    last = F.max_by(kind, at)
-    status = F.when(last == "purchase", "PAID").when(last == "error", "OVERDUE").otherwise("PENDING")
-    return t.events.groupBy("user_id").agg(F.max_by("value", F.when(kind == "purchase", at)).alias("last_amount"), status.alias("status"), F.count_if(kind == "error").alias("alerts"))
-
-
 @query("select event_id, max(value) over (partition by user_id order by ts, event_id) peak from events")
 def peak_sampling(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.max("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))

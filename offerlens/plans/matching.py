@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, sources
-from ..operators import assignment, cascade, graphs, similarity
+from ..operators import assignment, cascade, graphs, ranges, similarity
 from ..tables import kept
 from .registry import Tables, query
 
@@ -167,7 +167,7 @@ def dedup_intake_cascade(t: Tables) -> DataFrame:
     with their payload; pointers are followed by doubling."""
     rows = kept(intakes(t), "intakes")
     first = rows.filter("number is not null").groupBy("source_type", "number").agg(F.min("event_id").alias("first"))
-    was = cascade.previous_in_key(rows, ["hash"], "event_id", "event_id", "was", 1 << 16)
+    was = ranges.previous_in_key(rows, ["hash"], "event_id", "event_id", "was", 1 << 16)
     up = was.join(first, ["source_type", "number"], "left").select("event_id", "number", F.when(F.col("first") < F.col("event_id"), F.col("first")).otherwise(F.col("was")).alias("up"))
     found = graphs.roots(up.select(F.col("event_id").alias("node"), F.col("up").alias("parent")))
     deals = t.customer.select(F.col("c_custkey").cast("string").alias("number"), F.col("c_custkey").alias("deal"))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from offerlens.operators import assignment, cascade, graphs
+from offerlens.operators import assignment, cascade, graphs, ranges
 from pyspark.sql import functions as F
 
 
@@ -99,7 +99,7 @@ def test_cascade(spark):
 def test_previous_in_key(spark):
     r = random.Random(3)
     rows = [(r.choice(["a", "b", None]), n, n * 10) for n in r.sample(range(200), 80)]
-    got = cascade.previous_in_key(spark.createDataFrame(rows, "k string, n long, v long"), ["k"], "n", "v", "was", 7)
+    got = ranges.previous_in_key(spark.createDataFrame(rows, "k string, n long, v long"), ["k"], "n", "v", "was", 7)
     last, want = {}, set()
     for k, n, v in sorted(rows, key=lambda x: x[1]):
         want.add((k, n, v, last.get(k) if k else None))
