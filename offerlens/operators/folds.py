@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,3 +88,15 @@ def ordered_fold(
         return replay(run.drop_columns(["start", "part"]), first if start is None else pickle.loads(start))
 
     return by_run(at, [key, "part"], order, replayed, schema)
+
+
+def running(rows: DataFrame, key: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """`rows` with the sum of the whole numbers `value` over the key's rows up to and with this one, in order; nulls count as 0."""
+
+    def add(run: pa.Table, before: int) -> pa.Table:
+        v = np.asarray(run.column(value).fill_null(0).combine_chunks(), np.int64)
+        return run.append_column(name, pa.array(before + v.cumsum()))
+
+    total = lambda run: int(np.asarray(run.column(value).fill_null(0).combine_chunks(), np.int64).sum())
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{name}` long"
+    return ordered_fold(rows, key, order, total, lambda a, b: a + b, 0, add, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import running
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last by `order`. As an aggregate, so rows are combined before the shuffle."""
@@ -29,9 +31,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, nam
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int) -> DataFrame:
-    """Rows of each key in order until their sizes reach the budget; `used` is what the row may use, the last is cut."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("used", F.least(size, budget - before)).filter("used > 0")
+    """Rows of each key in order until their sizes reach the budget; `used` is what the row may use, the last is cut. Running sums are
+    taken over ranges, so no key is summed in one task."""
+    key = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
+    at = [f"__at{i}" for i in range(len(order))]
+    plain = df.withColumns({"__key": key, "__size": size.cast("long"), **dict(zip(at, order, strict=True))})
+    upto = running(plain, "__key", at, "__size", "__upto")
+    before = F.col("__upto") - F.coalesce("__size", F.lit(0))
+    return upto.withColumn("used", F.least("__size", budget - before)).filter("used > 0").select(*df.columns, "used")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -58,11 +65,13 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
     """(keys..., p, value): the value at rank ceil(p / 100 * n), at least the first, for each percentage.
 
-    Values are counted before they are ranked, so a group's rows never meet in one task; its distinct values do.
+    Values are counted before they are ranked, and the counts are summed over ranges: neither a group's rows nor its distinct
+    values meet in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).count()
-    w = Window.partitionBy(*keys)
-    cum = counts.withColumn("upto", F.sum("count").over(w.orderBy(value))).withColumn("n", F.sum("count").over(w))
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("n")).select(F.struct(*keys).alias("__key"), "n")
+    cum = running(counts.withColumn("__key", F.struct(*keys)), "__key", [value], "count", "upto")
+    cum = cum.join(totals.withColumnRenamed("__key", "__of"), F.col("__key").eqNullSafe(F.col("__of")))
     at = lambda p: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("n"))), F.col(value)))
     found = cum.groupBy(*keys).agg(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("value")) for p in percents)).alias("all"))
     return found.select(*keys, F.inline("all"))

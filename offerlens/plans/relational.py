@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import rows
+from ..operators import folds, rows
 from .registry import Tables, query
 
 
@@ -279,9 +279,9 @@ def ordered_children(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, format('ORD-{}-{:06d}', year(o_orderdate), row_number() over (partition by year(o_orderdate) order by o_orderdate, o_orderkey)) code from orders")
 def business_id_next(t: Tables) -> DataFrame:
-    y = F.year("o_orderdate")
-    n = F.row_number().over(Window.partitionBy(y).orderBy("o_orderdate", "o_orderkey"))
-    return t.orders.select("o_orderkey", F.format_string("ORD-%d-%06d", y, n).alias("code"))
+    rows_ = t.orders.select("o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"), F.lit(1).cast("long").alias("one"))
+    n = folds.running(rows_, "y", ["o_orderdate", "o_orderkey"], "one", "n")
+    return n.select("o_orderkey", F.format_string("ORD-%d-%06d", "y", "n").alias("code"))
 
 
 @query("select doc_id, source, least(n_chars, 12000 - b) used from (select *, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint b from documents) where b < 12000 and n_chars > 0")
@@ -331,7 +331,8 @@ def compare_id_sets(t: Tables) -> DataFrame:
 def dedup_hash_first(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("h"))
     first = d.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"))
-    return first.select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("new_index"))
+    numbered = folds.running(first.select("doc_id", "source", F.lit(1).cast("long").alias("one")), "source", ["doc_id"], "one", "n")
+    return numbered.select("doc_id", "source", (F.col("n") - 1).alias("new_index"))
 
 
 @query("select sha256(text) sha, min(doc_id) doc_id, count(*) versions, max(n_chars) n_chars from documents group by 1")
