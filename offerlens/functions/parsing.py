@@ -124,11 +124,9 @@ def header(c: Column) -> Column:
 def header_name(h: Column) -> Column:
     """The column that a header names: by equality with a synonym, or by holding one of three letters or more."""
     plain = lambda s: " ".join("".join(x if x.isalnum() and x != "№" else " " for x in s.lower()).split())
-    out = F.when(h == "", F.lit(None).cast("string"))
-    for name, synonyms in HEADERS.items():
-        for s in filter(None, map(plain, synonyms)):
-            out = out.when((h == s) | h.contains(s) if len(s) >= 3 else h == s, name)
-    return out
+    known = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(name).alias("name")) for name, synonyms in HEADERS.items() for s in filter(None, map(plain, synonyms))))
+    fits = F.filter(known, lambda k: (h == k["s"]) | ((F.length(k["s"]) >= 3) & F.contains(h, k["s"])))
+    return F.when(h != "", F.get(fits, 0)["name"])
 
 
 def phone(c: Column) -> Column:

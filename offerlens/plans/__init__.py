@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL twin."""
 
-from . import decisions, events, evidence, matching, offers, registers, relational, texts, trackers  # noqa: F401
+from . import decisions, events, evidence, files, matching, notices, offers, registers, relational, texts, trackers  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
