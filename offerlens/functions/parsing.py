@@ -152,6 +152,6 @@ def stem_match(a: Column, b: Column) -> Column:
 
 
 def iso_date(c: Column) -> Column:
-    """dd.mm.yyyy, the time and the zone of an ISO date; null where there is none at the start."""
+    """dd.mm.yyyy, the time and the zone of an ISO date; texts that do not begin with one stay as they are."""
     at = lambda k: F.regexp_extract(c, r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:T([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?))?([+-][0-9]{2}:?[0-9]{2})?", k)
-    return F.when(at(1) != "", F.concat_ws(" ", F.concat_ws(".", at(3), at(2), at(1)), blank_to_null(at(4)), blank_to_null(at(5))))
+    return F.when(at(1) != "", F.concat_ws(" ", F.concat_ws(".", at(3), at(2), at(1)), blank_to_null(at(4)), blank_to_null(at(5)))).otherwise(c)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -12,37 +13,38 @@ from pyspark.sql import functions as F
 SPACES = re.compile(r"\s+")
 
 
-def spans(text: str, size: int = 1500, overlap: int = 200, least: int = 120) -> Iterator[tuple[int, int, str]]:
+def spans(text: str, size: int = 1500, overlap: int = 200, least: int = 120) -> list[tuple[int, int, str]]:
     """(start, end, piece) over a text whose white space is single spaces.
 
-    A chunk ends after the last ". " or space of its window, unless that is too near to its start; the next begins `overlap`
-    characters before, past any space. Pieces shorter than `least` are left out, and so are texts.
+    All places behind a space are listed once, and a search in them finds how far the chunk that begins at a place reaches: to the last of them
+    within its size, or through a word if that is too near to its start. A chunk begins `overlap` characters before the end of the one
+    before. Pieces shorter than `least` are left out, and so are texts.
     """
-    size, n, at = max(least, size), len(text), 0
-    overlap = max(0, min(overlap, size // 2))
-    if n < least:
-        return
-    while at < n:
-        end = min(n, at + size)
-        if end < n:
-            cut = max(text.rfind(sign, at, end) for sign in (". ", " "))
-            if cut - at >= least // 2:
-                end = cut + 1
-        piece = text[at:end].strip()
-        if len(piece) >= least:
-            yield at, end, piece
-        if end == n:
-            return
-        at = max(end - overlap, at + 1)
-        while at < n and text[at] == " ":
-            at += 1
+    size, n = max(least, size), len(text)
+    back = max(0, min(overlap, size // 2))
+    places = [m.end() for m in re.finditer(" ", text)]
+
+    def reach(start: int) -> int:
+        most = start + size
+        behind = bisect.bisect_right(places, most)
+        place = places[behind - 1] if behind else 0
+        return n if most >= n else place if place > start + least // 2 else most
+
+    bounds = [(0, reach(0))] if n >= least else []
+    while bounds and bounds[-1][1] < n:
+        low, high = bounds[-1]
+        start = max(high - back, low + 1)
+        start += text[start] == " "
+        bounds.append((start, reach(start)))
+    pieces = ((low, high, text[low:high].strip()) for low, high in bounds)
+    return [p for p in pieces if len(p[2]) >= least]
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = 1500, overlap: int = 200, least: int = 120) -> DataFrame:
     """(id, chunk_index, char_start, char_end, token_estimate, text_hash, text): a row a chunk; null and short texts have none.
 
-    Where a cut falls depends on the one before, so the walk over a text is a small Python loop inside tasks; equal chunks of a
-    document count once, and the index runs over those that stay.
+    Where a cut falls depends on the one before, so a text is cut inside its task; equal chunks of a document count once, and the
+    index runs over those that stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,54 +20,104 @@ def dec(x: str):
 
 @query("""with q as (select l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice p, l_returnflag f, l_discount d, l_tax x from lineitem),
  m as (select *, min(case when f <> 'R' then p end) over w lo, max(case when f <> 'R' then p end) over w hi from q window w as (partition by l_partkey)),
- s as (select *, case when f = 'R' then 0 else 60 + 40 * (hi - p) / greatest(hi - lo, 1) end price, case when f = 'A' then 92 when f = 'N' then 85 else 10 end delivery,
+ s as (select *, case when f = 'R' then 0 else round(60 + 40 * (hi - p) / greatest(hi - lo, 1), 2) end price, case when f = 'A' then 92 when f = 'N' then 85 else 10 end delivery,
   case when f = 'R' then least(round((1 - d) * 100 * 0.2, 2), 20) else round((1 - d) * 100 * case when x <= 0.02 then 1.0::double when x <= 0.05 then 0.65::double else 0.2::double end, 2) end quality from m),
- t as (select *, round(0.45::double * price + 0.15::double * delivery + 0.4::double * quality, 2) total from s)
+ t as (select *, round(0.45::decimal(3,2) * price::decimal(12,2) + 0.15::decimal(3,2) * delivery + 0.40::decimal(3,2) * quality::decimal(12,2), 2)::double total from s)
  select l_partkey, l_suppkey, l_orderkey, l_linenumber, round(price, 4) price, quality, total, row_number() over (partition by l_partkey order by total desc, quality desc, p, l_orderkey, l_linenumber) rank_order from t""")
 def quote_comparison(t: Tables) -> DataFrame:
     f, p, w = F.col("l_returnflag"), F.col("l_extendedprice"), Window.partitionBy("l_partkey")
     live = F.when(f != "R", p)
     q = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_discount", "l_tax")
     q = q.withColumn("lo", F.min(live).over(w)).withColumn("hi", F.max(live).over(w))
-    q = q.withColumn("price", F.when(f == "R", 0.0).otherwise(60 + 40 * (F.col("hi") - p) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0))))
+    q = q.withColumn("price", F.when(f == "R", 0.0).otherwise(F.round(60 + 40 * (F.col("hi") - p) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0)), 2)))
     q = q.withColumn("delivery", F.when(f == "A", 92).when(f == "N", 85).otherwise(10))
     status = F.when(F.col("l_tax") <= 0.02, 1.0).when(F.col("l_tax") <= 0.05, 0.65).otherwise(0.2)
     score = (1 - F.col("l_discount")) * 100
     q = q.withColumn("quality", F.when(f == "R", F.least(F.round(score * 0.2, 2), F.lit(20.0))).otherwise(F.round(score * status, 2)))
-    q = q.withColumn("total", F.round(0.45 * F.col("price") + 0.15 * F.col("delivery") + 0.4 * F.col("quality"), 2))
+    q = q.withColumn("total", F.round(dec("0.45") * F.col("price").cast("decimal(12,2)") + dec("0.15") * F.col("delivery") + dec("0.40") * F.col("quality").cast("decimal(12,2)"), 2).cast("double"))
     q = rows.ranked(q, ["l_partkey"], [F.desc("total"), F.desc("quality"), p, F.col("l_orderkey"), F.col("l_linenumber")])
     return q.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.round("price", 4).alias("price"), "quality", "total", "rank_order")
 
 
-@query(f"""with o as (select o_orderkey, o_totalprice, o_orderdate, count(*) offers, count(*) filter (l_returnflag = 'R') risky, sum((l_extendedprice * l_discount)::decimal(18,4))::double profit, sum((l_extendedprice * (1 - l_discount))::decimal(18,4))::double cash,
-  count(*) filter (l_quantity < 2) insufficient from orders join lineitem on l_orderkey = o_orderkey group by 1, 2, 3),
+DEALS = f"""o as (select o_orderkey, o_totalprice, o_orderdate, count(*) offers, count(*) filter (l_returnflag = 'R') risky, count(*) filter (l_returnflag = 'N' and l_discount >= 0.09) unknown, bool_or(coalesce(s_acctbal, 0) < -900) blocked,
+  sum((l_extendedprice * l_discount)::decimal(18,4))::double profit, sum((l_extendedprice * (1 - l_discount))::decimal(18,4))::double cash, count(*) filter (l_quantity < 2) insufficient, count(*) filter (l_extendedprice < 1200) no_price,
+  count(*) filter (l_tax >= 0.08) manual, count(*) filter (l_linestatus = 'O' and l_returnflag = 'A') unknown_delivery from orders join lineitem on l_orderkey = o_orderkey left join supplier on s_suppkey = l_suppkey group by 1, 2, 3),
  s as (select *, profit / nullif(o_totalprice, 0) * 100 margin, datediff('hour', timestamp '{AS_OF}', o_orderdate + interval 120 day) h from o),
- p as (select *, case when margin >= 35 then 30 when margin >= 25 then 20 when margin >= 20 then 10 when margin >= 10 then 0 else -30 end mp,
-  case when profit >= 100000 then 30 when profit >= 50000 then 20 when profit >= 20000 then 10 when profit >= 5000 then 5 else 0 end pp,
-  case when h <= 0 then -100 when h < 3 then -30 when h < 12 then -10 when h < 24 then 3 else 10 end dp,
-  case when insufficient > 0 then -40 else 20 end qp, case when risky = 0 then 10 else -15 end sp,
-  case when cash <= 0 then 0 when profit / cash * 100 >= 50 then 20 when profit / cash * 100 >= 30 then 10 when profit / cash * 100 >= 15 then 5 else -10 end cp,
-  case when offers >= 8 then -8 when offers <= 2 then -2 else -5 end op, 20 * risky + 50 * insufficient penalty from s),
- r as (select *, mp + pp + dp + qp + sp + cp + op - penalty score, case when penalty >= 100 then 'critical' when penalty >= 60 then 'high' when penalty >= 25 then 'medium' else 'low' end level from p)
- select o_orderkey, score::bigint score, penalty::bigint penalty, level, case when h <= 0 then 'reject' when level = 'critical' then 'reject' when score >= 60 then 'strong_recommend' when score >= 30 then 'recommend' when score >= 10 then 'watch' when score >= -10 then 'needs_manual_review' else 'reject' end decision from r""")
-def deal_decision(t: Tables) -> DataFrame:
-    """Flagship: every order scored from its offers, with the risk penalty, its level and the decision."""
-    flag, dec = F.col("l_returnflag"), lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
-    li = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("offers"), F.count_if(flag == "R").alias("risky"), dec(F.col("l_extendedprice") * F.col("l_discount")).alias("profit"),
-        dec(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("cash"), F.count_if(F.col("l_quantity") < 2).alias("insufficient"),
+ p as (select *, case when margin >= 35 then 30 when margin >= 25 then 20 when margin >= 20 then 10 when margin >= 10 then 0 else -30 end score_margin,
+  case when profit >= 100000 then 30 when profit >= 50000 then 20 when profit >= 20000 then 10 when profit >= 5000 then 5 else 0 end score_profit,
+  case when h <= 0 then -100 when h < 3 then -30 when h < 12 then -10 when h < 24 then 3 else 10 end score_deadline, case when h <= 0 then 'expired' when h < 24 then 'deadline_soon' else 'active' end deadline_status,
+  case when no_price > 0 then -30 when insufficient > 0 then -40 when manual > 0 then -10 else 20 end score_data_quality,
+  case when blocked then -100 when risky = 0 and unknown = 0 then 10 else case when risky > 0 then -15 else 0 end - case when unknown > 0 then 3 else 0 end end score_supplier_quality,
+  case when cash <= 0 then 0 when profit / cash * 100 >= 50 then 20 when profit / cash * 100 >= 30 then 10 when profit / cash * 100 >= 15 then 5 else -10 end score_cash_efficiency,
+  case when offers >= 8 then -8 when offers <= 2 then -2 when h > 0 and h < 24 then -3 else -5 end score_competition,
+  5 * unknown_delivery + 20 * risky + 50 * insufficient + case when manual > 2 then 15 else 0 end + case when blocked then 100 else 0 end risk_penalty from s),
+ r as (select *, score_margin + score_profit + score_deadline + score_data_quality + score_supplier_quality + score_cash_efficiency + score_competition - risk_penalty score_total,
+  case when risk_penalty >= 100 then 'critical' when risk_penalty >= 60 then 'high' when risk_penalty >= 25 then 'medium' else 'low' end risk_level from p),
+ d as (select *, case when h <= 0 or blocked or risk_level = 'critical' then 'reject' when no_price > 0 then 'needs_manual_review' when score_total >= 60 then 'strong_recommend' when score_total >= 30 then 'recommend' when score_total >= 10 then 'watch' when score_total >= -10 then 'needs_manual_review' else 'reject' end decision from r),
+ a as (select *, case when decision in ('strong_recommend', 'recommend') then case when unknown_delivery > 0 then 'ask_delivery' when unknown > 0 then 'check_suppliers' when manual > 0 then 'check_positions' else 'prepare_offer' end
+  when decision = 'watch' then 'monitor' when decision = 'needs_manual_review' then case when deadline_status = 'deadline_soon' then 'urgent_review' else 'manual_review' end else 'decline' end next_action from d)"""
+
+
+def deals(t: Tables) -> DataFrame:
+    """Every order with what its offers come to, the points of each part of its score, the risk penalty, the decision and what to do next.
+
+    Lines stand for positions: returned ones come from risky suppliers, those at a high discount from unknown ones, low prices for missing
+    ones, high taxes for those to be reviewed by hand; a supplier deep in debt is blocked.
+    """
+    flag, dec_sum = F.col("l_returnflag"), lambda c: F.sum(c.cast("decimal(18,4)")).cast("double")
+    lines = t.lineitem.join(t.supplier.select("s_suppkey", "s_acctbal"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    li = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count("*").alias("offers"), F.count_if(flag == "R").alias("risky"), F.count_if((flag == "N") & (F.col("l_discount") >= 0.09)).alias("unknown"), F.bool_or(F.coalesce("s_acctbal", F.lit(0.0)) < -900).alias("blocked"),
+        dec_sum(F.col("l_extendedprice") * F.col("l_discount")).alias("profit"), dec_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("cash"), F.count_if(F.col("l_quantity") < 2).alias("insufficient"),
+        F.count_if(F.col("l_extendedprice") < 1200).alias("no_price"), F.count_if(F.col("l_tax") >= 0.08).alias("manual"), F.count_if((F.col("l_linestatus") == "O") & (flag == "A")).alias("unknown_delivery"),
     )
     s = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate").join(li, "o_orderkey")
-    hours = F.expr(f"timestampdiff(HOUR, timestamp_ntz '{AS_OF} 00:00:00', date_trunc('HOUR', o_orderdate + interval 120 days))")
-    points, state = scoring.deadline_points(hours)
+    s = s.withColumn("h", F.expr(f"timestampdiff(HOUR, timestamp_ntz '{AS_OF} 00:00:00', date_trunc('HOUR', o_orderdate + interval 120 days))"))
+    points, state = scoring.deadline_points(F.col("h"))
     cash, _ = scoring.cash_points(F.col("profit"), F.col("cash"))
-    margin = F.try_divide("profit", "o_totalprice") * 100
-    offers = F.when(F.col("offers") >= 8, -8).when(F.col("offers") <= 2, -2).otherwise(-5)
-    s = s.withColumn("penalty", 20 * F.col("risky") + 50 * F.col("insufficient"))
-    total = scoring.margin_points(margin) + scoring.profit_points(F.col("profit")) + points + F.when(F.col("insufficient") > 0, -40).otherwise(20) + F.when(F.col("risky") == 0, 10).otherwise(-15) + cash + offers
-    s = s.withColumn("score", (total - F.col("penalty")).cast("long")).withColumn("level", scoring.ladder(F.col("penalty"), scoring.RISK_LEVELS, "low")).withColumn("state", state)
-    gate = F.when((F.col("state") == "expired") | (F.col("level") == "critical"), "reject").otherwise(scoring.ladder(F.col("score"), scoring.DECISION, "reject"))
-    return s.select("o_orderkey", "score", "penalty", "level", gate.alias("decision"))
+    n = lambda c: F.col(c) > 0
+    trust = F.when(F.col("blocked"), -100).when(~n("risky") & ~n("unknown"), 10).otherwise(F.when(n("risky"), -15).otherwise(0) - F.when(n("unknown"), 3).otherwise(0))
+    s = s.select(
+        "*", scoring.margin_points(F.try_divide("profit", "o_totalprice") * 100).alias("score_margin"), scoring.profit_points(F.col("profit")).alias("score_profit"), points.alias("score_deadline"), F.when(state == "soon", "deadline_soon").otherwise(state).alias("deadline_status"),
+        F.when(n("no_price"), -30).when(n("insufficient"), -40).when(n("manual"), -10).otherwise(20).alias("score_data_quality"), trust.alias("score_supplier_quality"), cash.alias("score_cash_efficiency"),
+        F.when(F.col("offers") >= 8, -8).when(F.col("offers") <= 2, -2).when(state == "soon", -3).otherwise(-5).alias("score_competition"),
+        (5 * F.col("unknown_delivery") + 20 * F.col("risky") + 50 * F.col("insufficient") + F.when(F.col("manual") > 2, 15).otherwise(0) + F.when(F.col("blocked"), 100).otherwise(0)).alias("risk_penalty"),
+    )
+    parts = ("margin", "profit", "deadline", "data_quality", "supplier_quality", "cash_efficiency", "competition")
+    total = sum((F.col(f"score_{p}") for p in parts), F.lit(0)) - F.col("risk_penalty")
+    s = s.select("*", total.cast("long").alias("score_total"), scoring.ladder(F.col("risk_penalty"), scoring.RISK_LEVELS, "low").alias("risk_level"))
+    never = (F.col("deadline_status") == "expired") | F.col("blocked") | (F.col("risk_level") == "critical")
+    s = s.withColumn("decision", F.when(never, "reject").when(n("no_price"), "needs_manual_review").otherwise(scoring.ladder(F.col("score_total"), scoring.DECISION, "reject")))
+    go = F.when(n("unknown_delivery"), "ask_delivery").when(n("unknown"), "check_suppliers").when(n("manual"), "check_positions").otherwise("prepare_offer")
+    review = F.when(F.col("deadline_status") == "deadline_soon", "urgent_review").otherwise("manual_review")
+    act = F.when(F.col("decision").isin("strong_recommend", "recommend"), go).when(F.col("decision") == "watch", "monitor").when(F.col("decision") == "needs_manual_review", review).otherwise("decline")
+    return s.withColumn("next_action", act)
+
+
+@query(f"with {DEALS} select o_orderkey, score_total::bigint score, risk_penalty::bigint penalty, risk_level as level, decision, next_action from a")
+def deal_decision(t: Tables) -> DataFrame:
+    """Flagship: every order scored from its offers, with the risk penalty, its level, the decision and the next step."""
+    return deals(t).select("o_orderkey", F.col("score_total").alias("score"), F.col("risk_penalty").cast("long").alias("penalty"), F.col("risk_level").alias("level"), "decision", "next_action")
+
+
+def part_of_deal(name: str, columns: tuple[str, ...]) -> None:
+    """Register one part of what is known of deals, with what it follows from."""
+
+    def run(t: Tables) -> DataFrame:
+        whole = lambda c: F.col(c).cast("long").alias(c) if c.startswith(("score_", "risk_penalty")) or c == "h" else F.col(c)
+        return deals(t).withColumn("margin", F.round(F.try_divide("profit", "o_totalprice") * 100, 4)).select("o_orderkey", *map(whole, columns))
+
+    run.__name__ = name
+    said = {"margin": "round(margin, 4) margin"}
+    query(f"with {DEALS} select o_orderkey, {', '.join(said.get(c, f'{c}::bigint {c}' if c.startswith(('score_', 'risk_penalty')) or c == 'h' else c) for c in columns)} from a")(run)
+
+
+for _name, _columns in {
+    "score_margin": ("margin", "score_margin"), "score_profit": ("profit", "score_profit"), "score_deadline": ("deadline_status", "score_deadline"), "score_data_quality": ("no_price", "insufficient", "manual", "score_data_quality"),
+    "score_supplier_quality": ("risky", "unknown", "blocked", "score_supplier_quality"), "score_cash_efficiency": ("profit", "cash", "score_cash_efficiency"), "score_competition": ("offers", "deadline_status", "score_competition"),
+    "score_total": ("score_total",), "risk_penalty": ("risk_penalty", "risk_level"), "decision_from_score": ("score_total", "risk_level", "decision"), "next_action": ("decision", "next_action"), "date_hours_to_deadline": ("h",),
+}.items():
+    part_of_deal(_name, _columns)
 
 
 @query("""select o_orderkey, list_filter([case when o_totalprice <= 0 then 'price' end, case when b < 0 then 'cash' end], lambda x: x is not null)::varchar errors_,

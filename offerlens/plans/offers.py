@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from ..functions import parsing as p
 from .registry import Tables, query
 
-#: Cells as they come in quotes and price lists.
+#: Cells as they come in quotes and price lists; # stands for the customer's number of an order, % for the sign before a fragment.
 CELLS = (
-    "1 234,56 руб.", "1,234.56", "12.345.678", "1,234,567", "12,345", "12.345", "0,5", "125000", "-17.5", "n/a", "-", "", "  ", "USD 1 500", "99.90 €",
-    "Цена: 15 дней", "от 30 до 45 дней", "36 месяцев", "НДС 20%", "НДС 7,5 %", "без НДС", "without VAT", "Да, включено", "не включено", "pending", "In stock",
-    "до 2024-03-15", "15.03.2024 10:00", "2024-03-15T09:30:00+03:00", "2024-01-02", "Tel. +7 (495) 123-45-67", "84951234567", "4951234567", "12-34",
-    "ИНН: 7701234567", "inn 770123456789", "Sales@Example.COM; buy@x.org", "https://www.Shop.Example.ru/a?b=1#c see http://x.org/y)", "web.example.ru",
-    "Цена за ед.", "Наименование товара", "№", "Кол-во", "Ед. изм.", "Срок поставки, дн.", "Brand", "Кабель ВВГнг 3х1,5 шт", "cable set 10 pcs",
-    'ООО "Ромашка"', "АО «Свет»  Север", "Щит_учёта -- ЩУ-1", "медь; алюминий\nсталь,,латунь ", "a" * 300 + "\nтекст",
+    "# 234,56 руб.", "#,234.56", "#.345.678", "#,234,567", "#,345", "#.345", "0,#", "#000", "-#.5", "n/a", "-", "", "  ", "USD # 500", "#.90 €",
+    "Цена: # дней", "от 30 до 45 дней", "# месяцев", "НДС 20%", "НДС 7,5 %", "без НДС", "without VAT", "Да, включено", "не включено", "pending", "In stock",
+    "до 2024-03-15", "15.03.2024 10:00", "2024-03-15T09:30:00+03:00", "2024-01-02", "Tel. +7 (495) 123-45-67", "84951234567", "4951234567", "12-#",
+    "ИНН: 7701234567#", "inn 770123456789", "Sales#@Example.COM; buy@x.org", "https://www.Shop#.Example.ru/a?b=1%c see http://x.org/y)", "web#.example.ru",
+    "Цена за ед.", "Наименование товара", "№", "Кол-во", "Ед. изм.", "Срок поставки, дн.", "Brand", "Кабель ВВГнг 3х#,5 шт", "cable set # pcs",
+    'ООО "Ромашка"', "АО «Свет #»  Север", "Щит_учёта -- ЩУ-#", "медь; алюминий\nсталь,,латунь ", "a" * 300 + "\nтекст",
 )
 
 
 def cells(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(enumerate(CELLS)) + [(len(CELLS), None)], "id int, v string")
+    """(id, v): a cell for each order, of the form that its number gives, with its customer's number in it; every so many orders have none."""
+    forms = F.array(*map(F.lit, CELLS))
+    v = F.get(forms, (F.col("o_orderkey") % (len(CELLS) + 1)).cast("int"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.replace(F.replace(v, F.lit("#"), F.col("o_custkey").cast("string")), F.lit("%c"), F.lit("#c")).alias("v"))
 
 
-ROWS = "c(id, v) as (values " + ", ".join(f"""({i}, '{v.replace("'", "''")}')""" for i, v in enumerate(CELLS)) + f", ({len(CELLS)}, null))"
+FORMS = ", ".join(f"""({i}, '{v.replace("'", "''")}')""" for i, v in enumerate(CELLS))
+ROWS = f"forms(i, f) as (values {FORMS}), c as (select o_orderkey id, replace(replace(f, '#', o_custkey::varchar), '%c', '#c') v from orders left join forms on o_orderkey % {len(CELLS) + 1} = i)"
 
 
 def cell_query(name: str, sql: str, spark, with_: str = ""):
@@ -68,7 +72,7 @@ cell_query("bool_parse", f"case when {_hint(p.YES)} then true when {_hint(p.NO)}
 cell_query("extract_days", "try_cast(nullif(regexp_extract(v, '[0-9]{1,4}'), '') as integer)", lambda v: p.digits(v, 4))
 cell_query("extract_months", "try_cast(nullif(regexp_extract(v, '[0-9]{1,3}'), '') as integer)", lambda v: p.digits(v, 3))
 cell_query("date_extract", r"coalesce(nullif(regexp_extract(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), ''), nullif(regexp_extract(v, '[0-9]{2}\.[0-9]{2}\.[0-9]{4}'), ''))", lambda v: F.coalesce(p.blank_to_null(F.regexp_extract(v, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)), p.blank_to_null(F.regexp_extract(v, r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", 0))))
-cell_query("date_normalize", r"case when regexp_matches(v, '^\d{4}-\d{2}-\d{2}') then substr(v, 9, 2) || '.' || substr(v, 6, 2) || '.' || substr(v, 1, 4) || coalesce(' ' || nullif(regexp_extract(v, '^.{10}T(\d{2}:\d{2}(:\d{2}(\.\d+)?)?)', 1), ''), '') || coalesce(' ' || nullif(regexp_extract(v, '^.{10}(T[0-9:.]*)?([+-]\d{2}:?\d{2})', 2), ''), '') end", p.iso_date)
+cell_query("date_normalize", r"case when regexp_matches(v, '^\d{4}-\d{2}-\d{2}') then substr(v, 9, 2) || '.' || substr(v, 6, 2) || '.' || substr(v, 1, 4) || coalesce(' ' || nullif(regexp_extract(v, '^.{10}T(\d{2}:\d{2}(:\d{2}(\.\d+)?)?)', 1), ''), '') || coalesce(' ' || nullif(regexp_extract(v, '^.{10}(T[0-9:.]*)?([+-]\d{2}:?\d{2})', 2), ''), '') else v end", p.iso_date)
 cell_query("extract_phone", r"nullif(trim(regexp_extract(v, '\+?[0-9][0-9() \-]{8,}[0-9]')), '')", lambda v: p.blank_to_null(F.trim(F.regexp_extract(v, r"\+?[0-9][0-9() \-]{8,}[0-9]", 0))))
 cell_query("extract_inn", r"nullif(regexp_extract(v, '(?i)(?:инн|inn)[^0-9]{0,6}([0-9]{10,12})', 1), '')", lambda v: p.blank_to_null(F.regexp_extract(v, r"(?iu)(?:инн|inn)[^0-9]{0,6}([0-9]{10,12})", 1)))
 cell_query("extract_email", r"nullif(lower(regexp_extract(v, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')), '')", p.email)
@@ -87,7 +91,7 @@ cell_query("str_match_header", _header_case(), lambda v: p.header_name(p.header(
 cell_query("str_split_multi", r"array_to_string(list_filter(list_transform(regexp_split_to_array(v, '[,;\n\r]+'), lambda x: trim(x)), lambda x: x <> ''), '|')", lambda v: F.array_join(F.filter(F.transform(F.split(v, "[,;\n\r]+"), lambda x: F.trim(x)), lambda x: x != ""), "|"))
 cell_query("str_transliterate", f"case when v is not null then {TRANSLIT} end", p.transliterated)
 cell_query("str_canonical_signal", f"case when v is not null then upper(trim(regexp_replace({TRANSLIT}, '[^a-z0-9]+', '_', 'g'), '_')) end", p.canonical_signal)
-cell_query("str_slugify", f"case when v is not null then trim(regexp_replace({TRANSLIT}, '[^a-z0-9]+', '-', 'g'), '-') end", lambda v: F.regexp_replace(F.regexp_replace(p.transliterated(v), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
+cell_query("str_slugify", "coalesce(nullif(lower(trim(regexp_replace(coalesce(v, ''), '[^a-zA-Z0-9]+', '_', 'g'), '_')), ''), 'default')", lambda v: F.coalesce(p.blank_to_null(F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(v, F.lit("")), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))), F.lit("default")))
 cell_query("str_customer_name", SQUEEZE.format("list_reduce(list_prepend(" + SQUEEZE.format("lower(v)") + ", [" + ", ".join(f"'{x}'" for x in p.COMPANY_FORMS) + "]), lambda a, b: trim(replace(a, b, '')))"), p.company)
 cell_query("str_preview", "trim(replace(substr(v, 1, 280), chr(10), ' '))", lambda v: F.trim(F.replace(F.substring(v, 1, 280), F.lit("\n"), F.lit(" "))))
 cell_query("num_token_estimate", "case when coalesce(v, '') = '' then 0 else greatest(1, length(v) // 4) end::bigint", lambda v: F.when(F.coalesce(v, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(v) / 4))).cast("long"))

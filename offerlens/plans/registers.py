@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunks, rows
+from ..tables import kept
 from .registry import Tables, query
 
 
@@ -191,7 +192,7 @@ def page(name: str, sql: str, build) -> None:
     counted(name, sql, build)
 
 
-page("sort_nulls_last_date", "select o_orderkey, d from (select o_orderkey, case when o_orderkey % 5 <> 0 then o_orderdate end d from orders where o_custkey < 40) order by d desc nulls last, o_orderkey limit 60", lambda t: t.orders.filter("o_custkey < 40").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("d")).orderBy(F.col("d").desc_nulls_last(), "o_orderkey").limit(60))
+page("sort_nulls_last_date", "select o_orderkey, d from (select o_orderkey, case when o_orderkey % 5 <> 0 then o_orderdate end d from orders) order by d desc nulls last, o_orderkey limit 60", lambda t: t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("d")).orderBy(F.col("d").desc_nulls_last(), "o_orderkey").limit(60))
 page("sort_severity_rank", "select event_id, event_type from events order by case event_type when 'error' then 4 when 'purchase' then 3 when 'signup' then 2 when 'click' then 1 else 0 end desc, event_type, event_id limit 40", lambda t: t.events.select("event_id", "event_type").orderBy(F.desc(F.when(F.col("event_type") == "error", 4).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 1).otherwise(0)), "event_type", "event_id").limit(40))
 page("sort_coalesce_key", "select doc_id from documents order by coalesce(sha256(text), ''), doc_id limit 40", lambda t: t.documents.orderBy(F.coalesce(F.sha2("text", 256), F.lit("")), "doc_id").select("doc_id").limit(40))
 page("sort_numeric_text", "select p_partkey, coalesce(try_cast(split_part(p_brand, '#', 2) as integer), 999) no from part order by no, lower(p_name), p_partkey limit 40", lambda t: t.part.select("p_partkey", F.coalesce(F.element_at(F.split("p_brand", "#"), 2).try_cast("int"), F.lit(999)).alias("no"), "p_name").orderBy("no", F.lower("p_name"), "p_partkey").limit(40).select("p_partkey", "no"))
@@ -205,11 +206,11 @@ page("subset_issue_sets", "select user_id, array_to_string(list_sort(list_filter
 page("split_leakage", "select p_brand, count(distinct p_partkey % 3) splits, count(distinct p_partkey % 3) > 1 leaks from part group by 1", lambda t: t.part.groupBy("p_brand").agg(F.countDistinct(F.col("p_partkey") % 3).alias("splits")).withColumn("leaks", F.col("splits") > 1))
 page("dedup_identity_hash", "select identity, min(page_id) page_id, count(*) n from (select page_id, sha256(coalesce(nullif(regexp_replace(lower(url), '[?#].*$', ''), ''), length(html)::varchar || '|' || coalesce(url, ''))) identity from pages) group by 1", lambda t: t.pages.groupBy(F.sha2(F.coalesce(F.nullif(F.regexp_replace(F.lower("url"), "[?#].*$", ""), F.lit("")), F.concat_ws("|", F.length("html").cast("string"), F.coalesce("url", F.lit("")))), 256).alias("identity")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")))
 page("dedup_attachments", "select min(page_id) page_id, url from pages where url not in (select url from pages where page_id % 10 = 0 and url is not null) group by url", lambda t: t.pages.join(t.pages.filter("page_id % 10 = 0").select("url").distinct(), "url", "left_anti").filter("url is not null").groupBy("url").agg(F.min("page_id").alias("page_id")))
-page("dedup_text_items", r"select k, min(doc_id) doc_id, count(*) n from (select doc_id, lower(trim(regexp_replace(substr(text, 1, 40), '\s+', ' ', 'g'), ' .')) k from documents where text is not null) group by 1", lambda t: t.documents.filter("text is not null").groupBy(F.lower(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 40), r"\s+", " "), r"^[ .]+|[ .]+$", "")).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+page("dedup_text_items", r"select min(doc_id) doc_id, arg_min(sha256(text), doc_id) text_hash, count(*) n from (select doc_id, text, lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' .')) k from documents where text is not null) group by k", lambda t: t.documents.filter("text is not null").groupBy(F.sha2(F.lower(F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"^[ .]+|[ .]+$", "")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.min_by(F.sha2("text", 256), "doc_id").alias("text_hash"), F.count("*").alias("n")).drop("k"))
 page("upsert_search_result", "select user_id, event_type, arg_min(event_id, ts) event_id from (select user_id, event_type, event_id, {'t': ts, 'e': event_id} ts from events) group by 1, 2", lambda t: rows.first_per_key(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"))
 page("upsert_artifact", "select sha256(text) sha, min(doc_id) doc_id from documents where text is not null group by 1", lambda t: t.documents.filter("text is not null").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")))
-page("upsert_embedding", "select vec_id, label, max(v) version from (select vec_id, label, 1 v from embeddings union all select vec_id, label + 1, 2 from embeddings where vec_id % 4 = 0) group by vec_id, label", lambda t: t.embeddings.select("vec_id", "label", F.lit(1).alias("v")).union(t.embeddings.filter("vec_id % 4 = 0").select("vec_id", F.col("label") + 1, F.lit(2))).groupBy("vec_id", "label").agg(F.max("v").alias("version")))
-page("merge_notes", "select user_id, nullif(array_to_string(list_sort(list_distinct(list_filter(list(trim(props)), lambda x: x <> ''))), chr(10)), '') notes from events where event_id < 400 group by 1", lambda t: t.events.filter("event_id < 400").groupBy("user_id").agg(F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim("props"), F.lit("")))), "\n"), F.lit("")).alias("notes")))
+page("upsert_embedding", "select vec_id, arg_max(label, v) as label, max(v) version from (select vec_id, label, 1 v from embeddings union all select vec_id, label + 1, 2 from embeddings where vec_id % 4 = 0) group by vec_id", lambda t: t.embeddings.select("vec_id", "label", F.lit(1).alias("v")).union(t.embeddings.filter("vec_id % 4 = 0").select("vec_id", F.col("label") + 1, F.lit(2))).groupBy("vec_id").agg(F.max_by("label", "v").alias("label"), F.max("v").alias("version")))
+page("merge_notes", "select user_id, string_agg(note, chr(10) order by first) notes from (select user_id, trim(props) note, min((ts, event_id)) first from events where trim(props) <> '' group by 1, 2) group by 1", lambda t: t.events.filter("trim(props) <> ''").groupBy("user_id", F.trim("props").alias("note")).agg(F.min(F.struct("ts", "event_id")).alias("first")).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "note"))), lambda x: x["note"]), "\n").alias("notes")))
 page("vec_norm", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) norm from embeddings", lambda t: t.embeddings.select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 6).alias("norm")))
 page("vec_dim_check", "select len(embedding) dim, count(*) n from embeddings group by 1", lambda t: t.embeddings.groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n")))
 page("html_title", "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) title from pages", lambda t: t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")))
@@ -230,13 +231,13 @@ def chunk_stats(t: Tables) -> DataFrame:
 @query()
 def chunk_incremental(t: Tables) -> DataFrame:
     """Chunks that are new or changed against what was indexed: the same place or the same text of a document is skipped."""
-    now = chunks.chunked(t.documents, "doc_id", "text")
+    now = kept(chunks.chunked(t.documents, "doc_id", "text"), "chunks")
     return chunks.new_chunks(now, now.filter("doc_id % 3 = 0")).select("doc_id", "chunk_index", "text_hash")
 
 
 @query()
 def upsert_chunk(t: Tables) -> DataFrame:
     """Stored chunks after a run over changed texts: by place first, then by hash of the text."""
-    old = chunks.chunked(t.documents.filter("doc_id % 2 = 0"), "doc_id", "text")
-    new = chunks.chunked(t.documents.filter("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text")), "doc_id", "text")
+    old = kept(chunks.chunked(t.documents, "doc_id", "text"), "chunks")
+    new = kept(chunks.chunked(t.documents.filter("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text")), "doc_id", "text"), "chunks")
     return chunks.upserted(old, new).select("doc_id", "chunk_index", "text_hash")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strings, vectors
+from ..functions import parsing, strings, vectors
 from ..operators import rows
+from .offers import TRANSLIT
 from .registry import Tables, query
 
 COLLAPSED = "trim(regexp_replace(regexp_replace({}, '\u00a0', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'))"
@@ -23,10 +24,11 @@ def str_normalize_title(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", strings.normal_title(n).alias("title"), strings.signal(F.col("p_type")).alias("signal"), strings.slug(n).alias("slug"))
 
 
-@query("select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) n_tokens, case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end estimate, trim(replace(substr(text, 1, 280), chr(10), ' ')) preview from documents")
+@query(f"select doc_id, len(list_distinct(regexp_extract_all({TRANSLIT}, '[a-z0-9]{{3,}}'))) n_tokens, case when length(v) = 0 then 0 else greatest(1, length(v) // 4) end estimate, trim(replace(substr(v, 1, 280), chr(10), ' ')) preview from (select doc_id, text v from documents)")
 def str_tokenize_set(t: Tables) -> DataFrame:
+    """Different words of three letters or digits after transliteration, rough tokens, and a preview."""
     x = F.col("text")
-    return t.documents.select("doc_id", F.size(strings.token_set(x)).cast("long").alias("n_tokens"), strings.token_estimate(x).alias("estimate"), strings.preview(x).alias("preview"))
+    return t.documents.select("doc_id", F.size(parsing.tokens(x)).cast("long").alias("n_tokens"), strings.token_estimate(x).alias("estimate"), strings.preview(x).alias("preview"))
 
 
 @query("select o_orderkey, round(o_totalprice::decimal(18,4), 2)::double amount from orders")
@@ -90,20 +92,23 @@ def json_pick_first(t: Tables) -> DataFrame:
     return t.events.filter(k.isNotNull()).select("event_id", k.cast("long").alias("k"), "event_type")
 
 
-@query("""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) w from documents),
- f as (select doc_id, ('0x' || substr(sha256(w), 1, 8))::bigint % 256 bucket, (case when ('0x' || substr(sha256(w), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * (1 + least(length(w), 24) / 24.0::double) weight from tok
-  union all select doc_id, ('0x' || substr(sha256(substr(w, 1, 6)), 1, 8))::bigint % 256, (case when ('0x' || substr(sha256(substr(w, 1, 6)), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * 0.5::double from tok where length(w) >= 6)
- select doc_id, bucket, round(sum(weight::decimal(18,6)), 4)::double + 0.0::double weight from f group by 1, 2""")
+@query("""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_-]+')) w from documents),
+ f as (select doc_id, ('0x' || substr(sha256(w), 1, 8))::bigint % 256 bucket, ((case when ('0x' || substr(sha256(w), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * (1 + least(length(w), 24) / 24.0::double))::decimal(18,6) weight from tok
+  union all select doc_id, ('0x' || substr(sha256(substr(w, 1, 6)), 1, 8))::bigint % 256, ((case when ('0x' || substr(sha256(substr(w, 1, 6)), 9, 2))::bigint % 2 = 0 then 1 else -1 end) * 0.5::double)::decimal(18,6) from tok where length(w) >= 6),
+ g as (select doc_id, bucket, sum(weight) weight from f group by 1, 2), n as (select doc_id, sqrt(sum(weight::double * weight::double)) norm from g group by 1)
+ select doc_id, bucket, round(weight::double / norm, 6) + 0.0::double weight from g join n using (doc_id) where weight <> 0""")
 def embed_hashing(t: Tables) -> DataFrame:
-    """Signed feature hashing of tokens and six-character prefixes, in sparse form."""
+    """Signed feature hashing of words in any script and of their first six letters, at a length of one; sparse: buckets that are not 0."""
     w = F.col("w")
     byte = lambda c, at, n: F.conv(F.substring(F.sha2(c, 256), at, n), 16, 10).cast("long")
     sign = lambda c: F.when(byte(c, 9, 2) % 2 == 0, 1).otherwise(-1)
     feature = lambda c, weight: F.struct((byte(c, 1, 8) % 256).alias("bucket"), (sign(c) * weight).cast("decimal(18,6)").alias("weight"))
-    tok = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), 0)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    tok = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_-]+"), 0)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     both = F.array_compact(F.array(feature(w, 1 + F.least(F.length(w), F.lit(24)) / 24.0), F.when(F.length(w) >= 6, feature(F.substring(w, 1, 6), F.lit(0.5)))))
-    parts = tok.select("doc_id", "n", F.inline(both))
-    return parts.groupBy("doc_id", "bucket").agg(F.round(F.sum(F.col("weight") * F.col("n")), 4).cast("double").alias("weight"))
+    parts = tok.select("doc_id", "n", F.inline(both)).groupBy("doc_id", "bucket").agg(F.sum(F.col("weight") * F.col("n")).cast("double").alias("weight"))
+    vector = parts.filter("weight <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))  # 256 entries at most
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
+    return vector.select("doc_id", norm.alias("norm"), F.inline("v")).select("doc_id", "bucket", F.round(F.col("weight") / F.col("norm"), 6).alias("weight"))
 
 
 @query("""with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 100 = 0), s as (select qid, vec_id, list_cosine_similarity(q, embedding::double[]) c from q cross join embeddings where vec_id <> qid)
