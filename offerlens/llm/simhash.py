@@ -348,14 +348,15 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int)
     return met.filter(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= similarity).select("a", "b").distinct()
 
 
-def link_signatures(sigs: DataFrame, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, k: int = 2, parts: int = PARTS, shard_rows: int = 8192) -> DataFrame:
+def link_signatures(sigs: DataFrame, docs: DataFrame, similarity: float = 0.8, shingle: int = 5, k: int = 2, parts: int = PARTS, shard_rows: int = 8192, rounds: int = 6) -> DataFrame:
     """(a, b): links between rows of sigs (low: long, n, s0, s1, ...) that connect all of them that candidates connect.
 
     Long fingerprints are cut into words of 32 bits. Two rows are candidates if some word differs in at most k bits and the
     long fingerprints leave the similarity open; they link if the shingle sets of their texts in docs (doc_id, text) have it.
     First each row is compared with the first row of its equal words, which joins most near copies. Then a vantage-point tree of words,
     fitted on a bounded sample, deals each distinct word to its shard, and as a visitor to the shards whose border it is near;
-    words at the same position meet, and rows of different components so far are compared pair by pair. A
+    words at the same position meet. Of these, the first rows of different components are compared in rounds, each of which merges
+    components, so that a large group of near copies becomes one by few comparisons; at last, what is still apart is compared row by row. A
     single 64-bit fingerprint would need a radius of a dozen bits here, at which triangle bounds prune nothing.
     """
     keyed = _keyed(sigs.withColumn("component", F.col("low")), parts)
@@ -369,11 +370,32 @@ def link_signatures(sigs: DataFrame, docs: DataFrame, similarity: float = 0.8, s
     keyed = _keyed(known, parts)
     values = kept(keyed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), "signature-words")
     near = kept(_word_links(values, known, known.count(), k, parts, shard_rows), "word-pairs")
-    side = lambda key, row, of: keyed.toDF(key, row, of)
-    rows = near.join(side("x", "p", "pc"), "x").join(side("y", "q", "qc"), "y").filter("pc <> qc")
-    pairs = rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    open_ = kept(_within(pairs, known, similarity, parts), "open-pairs")
-    return joined.union(verified(open_, docs, similarity, shingle))
+    words = near.select(F.col("x").alias("key")).union(near.select("y")).distinct()
+    at = kept(keyed.join(words, "key"), "open-words")  # rows of the words that still hold different groups
+    test = lambda pairs: kept(verified(kept(_within(pairs, known, similarity, parts), "open-pairs"), docs, similarity, shingle), "links")
+    done = near.limit(0).toDF("a", "b")
+    for _ in range(rounds):
+        firsts = kept(at.groupBy("key", "component").agg(F.min("low").alias("low")), "word-groups")
+        pairs = kept(_across(near, firsts, firsts).join(done, ["a", "b"], "left_anti"), "first-pairs")
+        links = test(pairs)
+        done, joined = done.union(pairs), joined.union(links)
+        if links.isEmpty():
+            break
+        of = at.select("low", "component").distinct()
+        met = links.join(of.toDF("a", "a_of"), "a").join(of.toDF("b", "b_of"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
+        merged = components(met).toDF("component", "into")
+        at = kept(at.join(merged, "component", "left").select("key", "low", F.coalesce("into", "component").alias("component")), "open-words")
+    rest = kept(_across(near, at.groupBy("key", "component").agg(F.min("low").alias("low")), at).join(done, ["a", "b"], "left_anti"), "rest-pairs")
+    return joined.union(test(rest))
+
+
+def _across(near: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of rows (key, component, low) of different components whose words are a pair of `near`; words meet by their groups
+    (the same columns, one row each) first, so rows of one component never meet."""
+    side = lambda df, k, of, row: df.select(F.col("key").alias(k), F.col("component").alias(of), F.col("low").alias(row))
+    met = near.join(side(groups, "x", "pc", "p0"), "x").join(side(groups, "y", "qc", "q0"), "y").filter("pc <> qc").drop("p0", "q0")
+    both = met.join(side(rows, "x", "pc", "p"), ["x", "pc"]).join(side(rows, "y", "qc", "q"), ["y", "qc"])
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
