@@ -126,7 +126,7 @@ class UpsertTable:
             part = self.spark.read.parquet(folder)
             if "first_seen" not in part.columns:
                 columns = [c for c in part.columns if c not in (*self.keys, "present")]
-                at = F.struct(F.lit(number).cast("long").alias("version"), F.col(self.order).cast("string").alias("order"))
+                at = F.struct(F.lit(number).cast("long").alias("version"), F.col(self.order).alias("order"))
                 given = lambda c: F.col("present").isNull() | F.array_contains("present", c)
                 part = part.select(*self.keys, *(F.when(given(c), F.struct(at.alias("at"), F.col(c).alias("value"))).alias(c) for c in columns), F.lit(number).cast("long").alias("first_seen"), F.lit(number).cast("long").alias("last_seen"))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, strings, vectors
-from ..operators import rows
+from ..operators import retrieval
 from .offers import TRANSLIT
 from .registry import Tables, query
 
@@ -114,10 +114,9 @@ def embed_hashing(t: Tables) -> DataFrame:
 @query("""with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 100 = 0), s as (select qid, vec_id, list_cosine_similarity(q, embedding::double[]) c from q cross join embeddings where vec_id <> qid)
  select qid, vec_id, round(c, 6) score, rank_order from (select *, row_number() over (partition by qid order by round(c, 6) desc, vec_id) rank_order from s) where rank_order <= 10""")
 def vec_topk(t: Tables, k: int = 10) -> DataFrame:
-    """The stated query set (ids divisible by 100) against all vectors; the few queries are sent to the tasks in blocks."""
-    q = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    pairs = t.embeddings.join(q, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return rows.top_per_key(pairs, ["qid"], [F.desc("score"), F.col("vec_id")], k)
+    """The stated query set (ids divisible by 100) against all vectors, in blocks of queries."""
+    asked = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return retrieval.top_cosine(asked, t.embeddings, k)
 
 
 @query("select doc_id, round(5 * contains(lower(text), 'the of')::int + (2 + 3 / 16.0::double) * contains(lower(text), 'the')::int + (2 + 4 / 16.0::double) * contains(lower(text), 'that')::int, 4) score from documents where contains(lower(text), 'the') or contains(lower(text), 'that') order by score desc, doc_id limit 20")
