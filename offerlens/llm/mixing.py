@@ -64,6 +64,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, h): words of each text (null and empty: 0) and a hash of its id; a row for each row of docs."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), seed).alias("h"))
 
 
@@ -92,7 +93,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def repeated(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The documents as often as the mix takes them, with the columns of docs. Texts are not shuffled."""
+    """The documents as often as the mix takes them, with the columns of docs. Texts are not shuffled.
+
+    Null and empty texts add no words and come as often as their hash says; null sources are one source, the last; null ids hash alike;
+    repeated rows come equally often; an empty table gives an empty result; other columns may have any name.
+    """
     rows = kept(sized(docs, seed=seed), "mix-sizes")
     p = plan(rows, **options).select(F.col("source").alias("__source"), "source_size", "target", "whole", "below")
     # own names for the columns of docs, which may be called anything

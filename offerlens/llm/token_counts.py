@@ -46,7 +46,8 @@ def with_token_counts(docs: DataFrame, counter: Callable[[], Callable[[str], int
 
 def deltas(rows: DataFrame, version: str, docs: Column, tokens: Column) -> DataFrame:
     """Signed changes of the totals from rows with source and lang: +1 and the count for an insert, -1 and minus the count for a
-    delete, 0 and the difference for a revised count."""
+    delete, 0 and the difference for a revised count. Null sources and languages are keys of their own; a null count adds nothing; repeated
+    rows count as often as they come; an empty table gives an empty result."""
     return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), docs.cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens"))
 
 

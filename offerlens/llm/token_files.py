@@ -325,7 +325,8 @@ def write_tokens(docs: DataFrame, path: str, encoder: Callable, end_id: int | No
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files of write_tokens, ids as unsigned 32-bit
-    little-endian integers (binary), left out without `with_ids`; start counts the ids of all documents before it."""
+    little-endian integers (binary), left out without `with_ids`; start counts the ids of all documents before it. Null and empty texts have
+    their end id only; repeated rows are read as often as they were written; files of an empty table give an empty result."""
     files = spark.read.parquet(path)
     sums = kept(files.groupBy("shard").agg(F.sum("n_ids").alias("n")), "token-shards")
     # one row a range of documents: the window over all of them is small, and so is what is sent to the tasks
