@@ -10,22 +10,26 @@ from offerlens.llm.storage import kept
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers in their language and source."""
+    """Documents that pass the base rules and are no outliers in their language and source. Null, empty and short texts fail the rules;
+    null languages and sources are groups of their own; repeated rows fare alike; an empty table gives an empty result."""
     return quality.passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines whose templates recur across documents. n_chars stays the input's."""
+    """Every document, without the lines whose templates recur across documents. n_chars stays the input's. Null texts stay null, empty
+    ones empty; long texts are read whole; repeated rows lose the same lines; an empty table gives an empty result."""
     return lines.without_recurring(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked at a similarity of 0.8 over five-word shingles."""
+    """One document, that of the smallest id, of each group linked at a similarity of 0.8 over five-word shingles. Null and empty texts are one
+    group; rows with a null id stay; of rows that repeat an id one stays; an empty table gives an empty result."""
     return simhash.one_of_each_group(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them: up to twice."""
+    """Documents as often as their source's target takes them: up to twice. Null and empty texts add no words and come as often as their hash
+    says; a null source is one of its own; repeated rows come equally often; an empty table gives an empty result."""
     return mixing.repeated(docs)
 
 

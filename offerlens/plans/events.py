@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +42,25 @@ def idempotency_claim(t: Tables) -> DataFrame:
   union all select e.user_id, e.n, sha256(c.digest || '|' || e.n || '|' || e.event_id || '|' || e.event_type) from c join e on e.user_id = c.user_id and e.n = c.n + 1)
  select user_id, max(n) length, arg_max(digest, n) head from c group by 1""")
 def event_hash_chain(t: Tables) -> DataFrame:
-    """Each event's digest covers the digest before it, in order, per user."""
-    g = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("a"))
-    steps = F.transform("a", lambda x, i: F.concat_ws("|", (i + 1).cast("string"), x["event_id"].cast("string"), x["event_type"]))
-    head = F.aggregate(steps, F.lit(""), lambda s, x: F.sha2(F.concat_ws("|", s, x), 256))
-    return g.select("user_id", F.size("a").cast("long").alias("length"), head.alias("head"))
+    """Each event's digest covers the digest before it, in order, per user. A chain cannot be cut, but its events stream through the task that
+    follows it: only the last digest is held, however long it is."""
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, length, digest, ended = None, 0, "", []
+        for b in batches:
+            for u, i, kind in zip(*(b.column(c).to_pylist() for c in ("user_id", "event_id", "event_type")), strict=True):
+                if length and u != user:
+                    ended.append((user, length, digest))
+                    length, digest = 0, ""
+                user, length = u, length + 1
+                digest = hashlib.sha256("|".join([digest, str(length), *(str(x) for x in (i, kind) if x is not None)]).encode()).hexdigest()
+        if length:
+            ended.append((user, length, digest))
+        cols = list(zip(*ended, strict=True)) or [[]] * 3
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["user_id", "length", "head"])
+
+    e = t.events.select("user_id", "ts", "event_id", "event_type")
+    return e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(chained, "user_id long, length long, head string")
 
 
 @query("select n_name, r_name, 'world/' || r_name || '/' || n_name path, count(s_suppkey) suppliers from nation join region on n_regionkey = r_regionkey left join supplier on s_nationkey = n_nationkey group by all")
