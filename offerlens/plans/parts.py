@@ -14,6 +14,7 @@ PARTS = {
     "vec_cosine": ("vec_topk", ("qid", "vec_id", "score")),
     "topk_lexical": ("lexical_fallback", ("doc_id",)),
     "lexical_score": ("lexical_fallback", ("doc_id", "score")),
+    "classify_notice_kind": ("scan_notice_attachments", ("o_orderkey", "name", "document_kind")),
     "url_hash": ("url_normalize", ("page_id", "url_hash")),
 }
 
