@@ -23,20 +23,28 @@ def _begins(tokens: Column, stem: str) -> Column:
     return F.exists(tokens, lambda w: w.startswith(stem))
 
 
-def contrary(a: Column, b: Column) -> Column:
-    """Words of two different body parts, one on each side, or of another contrary pair."""
-    parts = lambda t: F.array_compact(F.array(*(F.when(_begins(t, p), F.lit(p)) for p in BODY_PARTS)))
-    x, y = parts(a), parts(b)
-    pairs = [(_begins(a, p) & _begins(b, q)) | (_begins(a, q) & _begins(b, p)) for p, q in OTHER_CONTRARIES]
-    differ = (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_union(x, y)) > 1)
-    return reduce(lambda p, q: p | q, pairs, differ)
+def stems(tokens: Column) -> Column:
+    """Those of the stems above that a word begins with: all that a name's words say about contraries."""
+    every = (*BODY_PARTS, *(p for pair in OTHER_CONTRARIES for p in pair))
+    return F.array_compact(F.array(*(F.when(_begins(tokens, p), F.lit(p)) for p in every)))
+
+
+def contrary(x: Column, y: Column) -> Column:
+    """Stems of two names: two different body parts, one on each side, or another contrary pair."""
+    parts = lambda s: F.array_intersect(s, F.array(*map(F.lit, BODY_PARTS)))
+    pairs = [(F.array_contains(x, p) & F.array_contains(y, q)) | (F.array_contains(x, q) & F.array_contains(y, p)) for p, q in OTHER_CONTRARIES]
+    differ = (F.size(parts(x)) > 0) & (F.size(parts(y)) > 0) & (F.size(F.array_union(parts(x), parts(y))) > 1)
+    return (F.size(x) > 0) & (F.size(y) > 0) & reduce(lambda p, q: p | q, pairs, differ)
+
+
+def agree(common: Column, x: Column, y: Column) -> Column:
+    """Two names with these words in common and these stems: two words, or one that is not generic, and nothing contrary."""
+    return ((F.size(common) >= 2) | ((F.size(common) == 1) & ~F.get(common, F.lit(0)).isin(*GENERIC))) & ~contrary(x, y)
 
 
 def compatible(a: Column, b: Column) -> Column:
     """Words a and b of two names: two in common, or one that is not generic, and nothing contrary."""
-    common = F.array_intersect(a, b)
-    told = F.size(F.array_except(common, F.array(*map(F.lit, GENERIC)))) > 0
-    return ~contrary(a, b) & ((F.size(common) >= 2) | ((F.size(common) == 1) & told))
+    return agree(F.array_intersect(a, b), stems(a), stems(b))
 
 
 def match_score(overlap: Column, name: Column, other: Column, quantity: Column, other_quantity: Column, unit: Column, other_unit: Column) -> Column:

@@ -70,3 +70,24 @@ def test_find_or_create(spark):
 def test_name_key(spark):
     rows = [("ООО «Ромашка-Щит»", "ooo romashka schit"), ("  A&B  co.", "a b co"), (None, None)]
     assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(matching.name_key(F.col("a"))).collect()] == [r[1] for r in rows]
+
+
+def above_join(df):
+    """What the physical plan does after the join of items with fragments."""
+    return df._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")[0]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_pairs_of_a_case_pass_no_shuffle(spark, monkeypatch):
+    t = Tables(spark, str(DATA))
+    assert "Exchange" not in above_join(matching.match_compatible(t)) and "Exchange" not in above_join(matching.match_fragment_score(t))
+    assert above_join(matching.resolve_field_sources(t)).count("Exchange") == 1  # a row an item
+    written, keep = [], matching.assignment.kept
+    monkeypatch.setattr(matching.assignment, "kept", lambda df, name: written.append(above_join(df)) or keep(df, name))
+    assert matching.join_source_graph_1to1(t).count() and "Exchange" not in written[0]
+
+
+def test_ties(spark):
+    rows = [("f", "a", 5), ("f", "b", 5), ("g", "a", 5), ("g", "b", 4), ("h", "a", 5), ("h", "a", 5), ("i", None, 5), ("i", "a", 5), (None, "a", 5), (None, "b", 5)]
+    got = matching.assignment.without_ties(spark.createDataFrame(rows, "f string, i string, s int"), ["f"], ["i"], "s")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[2:]))
