@@ -98,11 +98,8 @@ ORDERS = "o as (select *, o_orderkey % 40 = 7 broken from orders join customer o
 @query(f"""with {ORDERS} select o_orderkey, o_totalprice::decimal(20, 2)::double nmck, strftime(o_orderdate, '%d.%m.%Y') || ' 10:00:00 +03:00' publication_date, c_name || ' & <Co>' customer_name, c_custkey::varchar customer_inn, o_orderpriority procurement_subject from o where not broken""")
 def scan_notice_xml(t: Tables) -> DataFrame:
     """Fields of notices: the first alias with a text, the customer's own name and number before others; broken documents have none."""
-    tree = trees.nodes(notice_docs(t), "o_orderkey", "xml", ("customer",)).filter("ok")
-    main = trees.first_values(tree, ["o_orderkey"], NOTICE)
-    inside = tree.filter("size(scopes) > 0")
-    own = trees.first_values(inside, ["o_orderkey"], CUSTOMER)
-    j = main.join(own, "o_orderkey", "left")
+    main, own = trees.picker(NOTICE), trees.picker(CUSTOMER)
+    j = trees.mapped(notice_docs(t), "o_orderkey", "xml", lambda found: [main(found) + own(n for n in found if n[6])], (*NOTICE, *CUSTOMER), ("customer",))
     return j.select("o_orderkey", trees.decimal_price(F.col("nmck")).alias("nmck"), day_first(F.col("publication_date")).alias("publication_date"), F.coalesce("customer_name", "placer_name").alias("customer_name"), F.coalesce("customer_inn", "placer_inn").alias("customer_inn"), "procurement_subject")
 
 
@@ -110,33 +107,44 @@ def scan_notice_xml(t: Tables) -> DataFrame:
  union all select o_orderkey, 'Смета', '/files/' || o_custkey, 'estimate' from o where not broken""")
 def scan_notice_attachments(t: Tables) -> DataFrame:
     """Attachments of notices, each once: name and address from elements below or from attributes; addresses elsewhere are left out."""
-    tree = trees.nodes(notice_docs(t), "o_orderkey", "xml", ("attachment", "attachmentInfo", "document", "documentInfo", "file", "fileInfo")).filter("ok")
-    below = trees.first_values(tree.withColumn("at", F.explode("scopes")), ["o_orderkey", "at"], ATTACHMENT)
-    tag = F.lower("tag")
-    own = tree.filter(tag.contains("attachment") | tag.isin(*ATTACHMENT_TAGS)).select("o_orderkey", F.col("node").alias("at"), "attributes")
-    attr = lambda names: F.coalesce(*(F.nullif(F.trim(F.try_element_at("attributes", F.lit(n))), F.lit("")) for n in names))
-    rows = own.join(below, ["o_orderkey", "at"], "left").select("o_orderkey", F.trim(F.coalesce("name", attr(ATTACHMENT["name"]))).alias("name"), safe_url(F.coalesce("url", attr(ATTACHMENT["url"]))).alias("url"))
+    pick = trees.picker(ATTACHMENT)
+
+    def listed(found: list[tuple]) -> dict[tuple, None]:
+        below, out = trees.within(found), {}
+        for n in found:
+            tag = n[1].lower()
+            if "attachment" in tag or tag in ATTACHMENT_TAGS:
+                attr = [next((v for name in names if (v := n[5].get(name, "").strip(" "))), None) for names in ATTACHMENT.values()]
+                out[tuple(a or b for a, b in zip(pick(below.get(n[0], ())), attr, strict=True))] = None
+        return out
+
+    raw = trees.mapped(notice_docs(t), "o_orderkey", "xml", listed, tuple(ATTACHMENT), ("attachment", "attachmentInfo", "document", "documentInfo", "file", "fileInfo"))
+    rows = raw.select("o_orderkey", F.trim("name").alias("name"), safe_url(F.col("url")).alias("url"))
     named = rows.filter("url is not null").withColumn("name", F.coalesce("name", F.nullif(F.regexp_extract("url", "([^/?#]*)(?:[?#].*)?$", 1), F.lit("")), F.lit("document")))
     return named.groupBy("o_orderkey", F.lower("name").alias("key"), "url").agg(F.first("name").alias("name")).select("o_orderkey", "name", "url", attachment_kind(F.col("name")).alias("document_kind"))
 
 
 def soap_docs(t: Tables) -> DataFrame:
     """Answers of a search service, with up to sixteen purchases each; some have no title, no customer or no address."""
-    k = F.col("o_orderkey")
-    purchase = F.concat(
-        F.lit("<purchase>"), element("guid", k.cast("string")), element("purchaseName", F.when(k % 9 != 4, F.concat(F.lit("Поставка "), "o_orderpriority"))), element("organizationName", F.when(k % 5 != 2, F.concat(F.lit("К"), F.col("o_custkey").cast("string")))), element("href", F.when(k % 7 != 3, F.concat(F.lit("https://zakupki.gov.ru/"), k.cast("string")))),
-        element("documentsCount", (k % 3).cast("string")), element("maxPrice", F.col("o_totalprice").cast("decimal(20,2)").cast("string")), element("lawName", F.lit("44-ФЗ")), element("statusName", F.col("o_orderstatus")), F.lit("</purchase>"),
-    )
-    of = t.orders.select(F.floor(k / 16).alias("answer"), k.alias("k"), purchase.alias("p")).groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("ps"))
-    return of.select("answer", F.concat(F.lit('<s:Envelope xmlns:s="urn:s"><s:Body><r xmlns="urn:r">'), F.array_join(F.transform("ps", lambda x: x["p"]), ""), F.lit("</r></s:Body></s:Envelope>")).alias("xml"))
+    fields = ("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+
+    def purchase(x: Column) -> Column:
+        k = x["o_orderkey"]
+        return F.concat(
+            F.lit("<purchase>"), element("guid", k.cast("string")), element("purchaseName", F.when(k % 9 != 4, F.concat(F.lit("Поставка "), x["o_orderpriority"]))), element("organizationName", F.when(k % 5 != 2, F.concat(F.lit("К"), x["o_custkey"].cast("string")))), element("href", F.when(k % 7 != 3, F.concat(F.lit("https://zakupki.gov.ru/"), k.cast("string")))),
+            element("documentsCount", (k % 3).cast("string")), element("maxPrice", x["o_totalprice"].cast("decimal(20,2)").cast("string")), element("lawName", F.lit("44-ФЗ")), element("statusName", x["o_orderstatus"]), F.lit("</purchase>"),
+        )
+
+    of = t.orders.groupBy(F.floor(F.col("o_orderkey") / 16).alias("answer")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ps"))
+    return of.select("answer", F.concat(F.lit('<s:Envelope xmlns:s="urn:s"><s:Body><r xmlns="urn:r">'), F.array_join(F.transform("ps", purchase), ""), F.lit("</r></s:Body></s:Envelope>")).alias("xml"))
 
 
 @query("""select o_orderkey::varchar procurement_id, 'Поставка ' || o_orderpriority title, case when o_orderkey % 5 <> 2 then 'К' || o_custkey else 'Не указан' end customer_name, case when o_orderkey % 7 <> 3 then 'https://zakupki.gov.ru/' || o_orderkey else 'https://zakupki.gov.ru/' end source_url,
   o_totalprice::decimal(20, 2)::double initial_price, 'RUB' currency, o_orderstatus status, o_orderkey % 3 attachments_count, case when o_orderkey % 3 > 0 then 'downloadable' else 'manual_upload_required' end attachments_status, (o_orderkey % 5 = 2)::int + (o_orderkey % 7 = 3)::int warnings from orders where o_orderkey % 9 <> 4""")
 def scan_soap_xml(t: Tables) -> DataFrame:
     """Purchases of search answers: those without an id or a title are left out, others count what they lack."""
-    tree = trees.nodes(soap_docs(t), "answer", "xml", PURCHASES).filter("ok")
-    p = trees.first_values(tree.withColumn("at", F.explode("scopes")), ["answer", "at"], PURCHASE).filter("procurement_id is not null and title is not null")
+    pick = trees.picker(PURCHASE)
+    p = trees.mapped(soap_docs(t), "answer", "xml", lambda found: map(pick, trees.within(found).values()), tuple(PURCHASE), PURCHASES).filter("procurement_id is not null and title is not null")
     n = F.coalesce(F.col("attachments").try_cast("long"), F.lit(0))
     lacks = [F.col(c).isNull().cast("int") for c in ("customer_name", "source_url", "law")]
     return p.select("procurement_id", "title", F.coalesce("customer_name", F.lit("Не указан")).alias("customer_name"), F.coalesce("source_url", F.lit("https://zakupki.gov.ru/")).alias("source_url"), trees.decimal_price(F.col("initial_price")).alias("initial_price"), F.coalesce("currency", F.lit("RUB")).alias("currency"), "status", n.alias("attachments_count"), F.when(n > 0, "downloadable").otherwise("manual_upload_required").alias("attachments_status"), (lacks[0] + lacks[1] + lacks[2]).alias("warnings"))
@@ -144,17 +152,22 @@ def scan_soap_xml(t: Tables) -> DataFrame:
 
 def search_pages(t: Tables) -> DataFrame:
     """Search pages with up to ten cards of orders; every eighth page has links only."""
-    k = F.col("o_orderkey")
-    number = F.lpad(k.cast("string"), 19, "3")
     block = lambda a, b: F.concat(F.lit(f'<div class="data-block__title">{a}:</div>\n <div class="x data-block__value">'), b, F.lit("</div>"))
-    card = F.concat(
-        F.lit('<div class="search-registry-entry-block registry-entry"><a href="/notice/view?regNumber='), number, F.lit('">№ '), number, F.lit("</a>"), block("Объект закупки", F.concat(F.lit("<b>Поставка</b>&nbsp;&amp; "), "o_orderpriority")), block("Заказчик", F.concat(F.lit("<span>К"), F.col("o_custkey").cast("string"), F.lit("</span>"))), block("Заказчик", F.lit("второй")),
-        block("Размещено", F.date_format("o_orderdate", "dd.MM.yyyy")), block("Окончание подачи", F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" 09:30 (МСК)"))), F.lit("</div>"),
-    )
-    bare = F.concat(F.lit('<a href="/v?n='), number, F.lit('">'), number, F.lit("</a>"))
-    rows = t.orders.select(F.floor(k / 10).alias("page"), k.alias("k"), F.when(F.floor(k / 10) % 8 == 5, bare).otherwise(card).alias("c"))
-    of = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("cs"))
-    return of.select("page", F.concat(F.lit("<html><body><h1>Результаты</h1>"), F.array_join(F.transform("cs", lambda x: x["c"]), "\n"), F.lit("</body></html>")).alias("html"))
+
+    def entry(x: Column) -> Column:
+        number = F.lpad(x["o_orderkey"].cast("string"), 19, "3")
+        card = F.concat(
+            F.lit('<div class="search-registry-entry-block registry-entry"><a href="/notice/view?regNumber='), number, F.lit('">№ '), number, F.lit("</a>"), block("Объект закупки", F.concat(F.lit("<b>Поставка</b>&nbsp;&amp; "), x["o_orderpriority"])), block("Заказчик", F.concat(F.lit("<span>К"), x["o_custkey"].cast("string"), F.lit("</span>"))), block("Заказчик", F.lit("второй")),
+            block("Размещено", F.date_format(x["o_orderdate"], "dd.MM.yyyy")), block("Окончание подачи", F.concat(F.date_format(x["o_orderdate"], "dd.MM.yyyy"), F.lit(" 09:30 (МСК)"))), F.lit("</div>"),
+        )
+        bare = F.concat(F.lit('<a href="/v?n='), number, F.lit('">'), number, F.lit("</a>"))
+        return F.when(F.floor(x["o_orderkey"] / 10) % 8 == 5, bare).otherwise(card)
+
+    of = t.orders.groupBy(F.floor(F.col("o_orderkey") / 10).alias("page")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))).alias("cs"))
+    return of.select("page", F.concat(F.lit("<html><body><h1>Результаты</h1>"), F.array_join(F.transform("cs", entry), "\n"), F.lit("</body></html>")).alias("html"))
+
+
+NUMBER = r'href="[^"]*?(\d{11,25})'
 
 
 CARDS = "c as (select o_orderkey k, o_orderkey // 10 page, lpad(o_orderkey::varchar, 19, '3') number, o_orderkey // 10 % 8 = 5 bare, * from orders)"
@@ -163,22 +176,23 @@ CARDS = "c as (select o_orderkey k, o_orderkey // 10 page, lpad(o_orderkey::varc
 @query(f"""with {CARDS} select page, number notice_number, case when not bare then 'Поставка & ' || o_orderpriority end title, case when not bare then 'к' || o_custkey end customer_name, case when not bare then o_orderdate::date end published, case when not bare then o_orderdate::date + interval 570 minute end deadline from c""")
 def scan_html_cards(t: Tables) -> DataFrame:
     """Cards of search pages with number, title, customer and dates; a page without cards gives the numbers of its links, each once."""
-    pages = search_pages(t)
-    whole = pages.select("page", "html", trees.cards(F.col("html")).alias("cards"))
-    one = whole.select("page", F.explode("cards").alias("card"))
-    pairs = one.select("page", F.regexp_extract("card", r'href="[^"]*?(\d{11,25})', 1).alias("notice_number"), trees.label_pairs(F.col("card"), "data-block__title", "data-block__value").alias("p"))
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="[^"]*?(\d{11,25})[^"]*"'), 1))
+    of_card = lambda x: F.struct(F.regexp_extract(x, NUMBER, 1).alias("number"), trees.label_pairs(x, "data-block__title", "data-block__value").alias("p"))
+    of_link = lambda x: F.struct(x.alias("number"), F.lit(None).cast("map<string,string>").alias("p"))
+    found = F.transform(F.array(trees.cards(F.col("html"))), lambda c: F.when(F.size(c) > 0, F.transform(c, of_card)).otherwise(F.transform(links, of_link)))
+    # outer, or Spark works the pieces out a second time to drop pages without any
+    one = search_pages(t).select("page", F.explode_outer(F.get(found, 0)).alias("e")).filter("e is not null").select("page", F.col("e.number").alias("notice_number"), F.col("e.p").alias("p"))
     named = lambda n: F.try_element_at("p", F.lit(n))
-    titled = pairs.select("page", "notice_number", named("объект закупки").alias("title"), F.lower(named("заказчик")).alias("customer_name"), F.to_date(trees.public_time(named("размещено"))).alias("published"), trees.public_time(named("окончание подачи")).cast("timestamp_ntz").alias("deadline")).filter("title is not null")
-    links = whole.filter("size(cards) = 0").select("page", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="[^"]*?(\d{11,25})[^"]*"'), 1))).alias("notice_number"))
-    return titled.unionByName(links, allowMissingColumns=True)
+    titled = one.select("page", "notice_number", named("объект закупки").alias("title"), F.lower(named("заказчик")).alias("customer_name"), F.to_date(trees.public_time(named("размещено"))).alias("published"), trees.public_time(named("окончание подачи")).cast("timestamp_ntz").alias("deadline"), F.col("p").isNull().alias("bare"))
+    return titled.filter("title is not null or bare").drop("bare")
 
 
 @query(f"with {CARDS} select page, number notice_number, unnest(['объект закупки', 'заказчик', 'размещено', 'окончание подачи']) label, unnest(['Поставка & ' || o_orderpriority, 'К' || o_custkey, strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%d.%m.%Y') || ' 09:30 (МСК)']) as value from c where not bare")
 def html_label_pairs(t: Tables) -> DataFrame:
     """Labels and values of each card; of a label that comes twice the first value counts."""
-    one = search_pages(t).select("page", F.explode(trees.cards(F.col("html"))).alias("card"))
-    number = F.regexp_extract("card", r'href="[^"]*?(\d{11,25})', 1).alias("notice_number")
-    return one.select("page", number, F.explode(trees.label_pairs(F.col("card"), "data-block__title", "data-block__value")).alias("label", "value"))
+    one = search_pages(t).select("page", F.explode_outer(trees.cards(F.col("html"))).alias("card")).filter("card is not null")
+    pairs = F.explode_outer(trees.label_pairs(F.col("card"), "data-block__title", "data-block__value")).alias("label", "value")
+    return one.select("page", F.regexp_extract("card", NUMBER, 1).alias("notice_number"), pairs).filter("label is not null")
 
 
 @query("""select o_orderkey, case o_orderkey % 5 when 4 then null when 3 then o_orderdate::date::timestamp when 2 then o_orderdate::date::timestamp else o_orderdate::date + interval 570 minute end parsed from orders""")

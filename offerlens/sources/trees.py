@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -81,6 +81,50 @@ def nodes(docs: DataFrame, id_: str, xml: str, scopes: Sequence[str] = ()) -> Da
     return rows.mapInArrow(run, f"{id_} {dict(rows.dtypes)[id_]}, ok boolean, {NODE}")
 
 
+def mapped(docs: DataFrame, id_: str, xml: str, make: Callable[[list[tuple]], Iterable[tuple]], columns: Sequence[str], scopes: Sequence[str] = ()) -> DataFrame:
+    """(id, columns...): the rows of texts that `make` gives for the elements of each document (see `nodes_of`). They are picked where the document is
+    read, so its nodes need not be grouped again. Broken, null and blank documents have no rows."""
+    wanted = frozenset(scopes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, 512):
+                part = b.slice(low, 512)
+                got = [(i, *row) for i, source in enumerate(part.column(1).to_pylist()) for found in (nodes_of(source, wanted),) if found for row in make(found)]
+                at, *texts = list(zip(*got, strict=True)) or [[]] * (1 + len(columns))
+                yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.string()) for c in texts)], [id_, *columns])
+
+    rows = docs.select(id_, xml)
+    return rows.mapInArrow(run, f"{id_} {dict(rows.dtypes)[id_]}, " + ", ".join(f"{c} string" for c in columns))
+
+
+def picker(aliases: dict[str, Sequence[str]]) -> Callable[[Iterable[tuple]], tuple[str | None, ...]]:
+    """A function from elements to the values that `first_values` finds in them, in the order of the fields."""
+    ranks: dict[str, list[tuple[int, int]]] = {}
+    for k, tags in enumerate(aliases.values()):
+        for rank, tag in reversed(list(enumerate(tags))):
+            ranks.setdefault(tag, []).append((k, rank))
+
+    def pick(found: Iterable[tuple]) -> tuple[str | None, ...]:
+        best: list[tuple[int, str | None]] = [(1 << 30, None)] * len(aliases)
+        for n in found:
+            for k, rank in ranks.get(n[1], ()):
+                if rank < best[k][0] and (text := (n[3] or "").strip(" \t\n\x0b\f\r")):
+                    best[k] = (rank, text)
+        return tuple(text for _, text in best)
+
+    return pick
+
+
+def within(found: Iterable[tuple]) -> dict[int, list[tuple]]:
+    """Elements by each of the scopes that enclose them."""
+    out: dict[int, list[tuple]] = {}
+    for n in found:
+        for at in n[6]:
+            out.setdefault(at, []).append(n)
+    return out
+
+
 def first_values(tree: DataFrame, scope: Sequence[str], aliases: dict[str, Sequence[str]]) -> DataFrame:
     """(scope..., fields): for each field the first of its aliases that has a text, at its first place in the document. As an aggregate, so the nodes
     of a document are combined where they lie."""
@@ -120,16 +164,18 @@ CARD_CLASSES = ("registry-entry", "notice__item", "search-results__item")
 
 def cards(c: Column) -> Column:
     """Pieces of a search page that begin with a card, in order; none if it has no card of a known class."""
-    out = F.array().cast("array<string>")
-    for name in reversed(CARD_CLASSES):
-        mark = rf'(?i)(?=<div[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>)'
-        found = F.filter(F.split(c, mark), lambda x: x.rlike(rf'(?i)^<div[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>'))  # noqa: B023
-        out = F.when(F.size(found) > 0, found).otherwise(out)
-    return out
+    def found(name: str) -> Column:
+        begins = rf'(?i)<div[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>'
+        return F.filter(F.split(c, begins.replace("(?i)", "(?i)(?=") + ")"), lambda x: x.rlike("^" + begins))
+
+    # each class is looked for once, and only where those before it are not found
+    some = (F.get(F.filter(F.array(found(name)), lambda x: F.size(x) > 0), 0) for name in CARD_CLASSES)
+    return F.coalesce(*some, F.array().cast("array<string>"))
 
 
 def public_time(c: Column) -> Column:
     """Times as public pages print them: day first with or without hours, or an ISO day; a mark of the zone is dropped; null for others."""
     t = F.trim(F.regexp_replace(F.replace(plain_text(c), F.lit("(МСК)"), F.lit("")), r"\s+", " "))
     forms = {r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}$": "d.M.yyyy H:m", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{1,2}:\d{1,2}$": "d.M.yyyy H:m:s", r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy", r"^\d{4}-\d{1,2}-\d{1,2}$": "yyyy-M-d"}
-    return F.coalesce(*(F.when(t.rlike(p), F.try_to_timestamp(t, F.lit(f))) for p, f in forms.items()))
+    parsed = lambda x: F.coalesce(*(F.when(x.rlike(p), F.try_to_timestamp(x, F.lit(f))) for p, f in forms.items()))
+    return F.get(F.transform(F.array(t), parsed), 0)  # bound to a variable, so the text is made once
