@@ -13,7 +13,7 @@ from ..tables import kept, removed
 def _doubled(at: DataFrame) -> DataFrame:
     """Each node's pointer after twice as many steps: (node, up, steps), up being null past the end of the pointers."""
     on = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-    return at.join(on, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    return at.join(on.hint("merge"), "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -22,25 +22,25 @@ def roots(parents: DataFrame) -> DataFrame:
     A node without a parent, or whose parent has none or no row, leads to a root; the depth is the number of steps to it. Nodes
     that lead into a cycle have null root and depth, and on_cycle says whether they lie on it. Pointers double in each round, so
     a chain of n nodes takes about log2(n) rounds; after that many steps only cycles still move, and the pointers into a
-    cycle have just its nodes as ends. Rows with a null node are left out; equal rows count once; an empty table gives an empty result.
+    cycle have just its nodes as ends. Joins are by sorting: tables of nodes are not broadcast, which would send them through the driver in each round. Rows with a null node are left out; equal rows count once; an empty table gives an empty result.
     """
     rows = kept(parents.select("node", "parent").filter("node is not null").distinct(), "parents")
     at = kept(rows.filter("parent is not null").select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")), "pointers")
     size = at.count()
-    ends = kept(at.select(F.col("up").alias("end")).distinct().join(at.select(F.col("node").alias("end")), "end", "left_anti"), "ends")
+    ends = kept(at.select(F.col("up").alias("end")).distinct().join(at.select(F.col("node").alias("end")).hint("merge"), "end", "left_anti"), "ends")
     for _ in range(max(1, math.ceil(math.log2(size + 1)) + 1)):
-        moving = at.join(ends, at["up"] == ends["end"], "left_anti")
+        moving = at.join(ends.hint("merge"), at["up"] == ends["end"], "left_anti")
         if moving.isEmpty():
             break
         new = kept(_doubled(at), "pointers")
         removed(at)
         at = new
-    settled = at.join(ends, at["up"] == ends["end"], "left_semi").select("node", F.col("up").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("on_cycle"))
-    loose = at.join(ends, at["up"] == ends["end"], "left_anti")
+    settled = at.join(ends.hint("merge"), at["up"] == ends["end"], "left_semi").select("node", F.col("up").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("on_cycle"))
+    loose = at.join(ends.hint("merge"), at["up"] == ends["end"], "left_anti")
     on = loose.select(F.col("up").alias("node")).distinct().withColumn("on", F.lit(True))
     none = F.lit(None).cast(dict(at.dtypes)["node"])
-    circling = loose.join(on, "node", "left").select("node", none.alias("root"), F.lit(None).cast("long").alias("depth"), F.coalesce("on", F.lit(False)).alias("on_cycle"))
-    top = rows.select("node").distinct().unionByName(ends.withColumnRenamed("end", "node")).distinct().join(at.select("node"), "node", "left_anti")
+    circling = loose.join(on.hint("merge"), "node", "left").select("node", none.alias("root"), F.lit(None).cast("long").alias("depth"), F.coalesce("on", F.lit(False)).alias("on_cycle"))
+    top = rows.select("node").distinct().unionByName(ends.withColumnRenamed("end", "node")).distinct().join(at.select("node").hint("merge"), "node", "left_anti")
     return settled.unionByName(circling).unionByName(top.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("on_cycle")))
 
 
