@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -49,15 +50,24 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = 1500, overl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = b.column(0), []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                seen: set[str] = set()
-                for start, end, piece in spans(SPACES.sub(" ", text or "").strip(), size, overlap, least):
-                    if piece not in seen:
-                        found.append((i, len(seen), start, end, piece))
-                        seen.add(piece)
-            cols = list(zip(*found, strict=True)) or [[]] * 5
-            yield pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], [id_col, "chunk_index", "char_start", "char_end", "text"])
+            for low in range(0, b.num_rows, 64):  # a few texts at a time, so that memory follows the texts and not the batch
+                part, found = b.slice(low, 64), []
+                for i in range(part.num_rows):
+                    seen: set[str | bytes] = set()
+                    for start, end, piece in spans(SPACES.sub(" ", part.column(1)[i].as_py() or "").strip(), size, overlap, least):
+                        key = piece if len(piece) < 32 else hashlib.sha256(piece.encode("utf-8", "surrogatepass")).digest()
+                        if key not in seen:
+                            found.append((i, len(seen), start, end, piece))
+                            seen.add(key)
+                        if len(found) == 512:
+                            yield batch(part.column(0), found)
+                            found = []
+                if found:
+                    yield batch(part.column(0), found)
+
+    def batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True))
+        return pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], [id_col, "chunk_index", "char_start", "char_end", "text"])
 
     narrow = docs.select(id_col, F.col(text_col).alias("text"))
     rows = narrow.mapInArrow(run, f"{id_col} {dict(narrow.dtypes)[id_col]}, chunk_index long, char_start long, char_end long, text string")
