@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,8 @@ from ..tables import kept
 
 #: Counts of tokens are kept by a hash of the token; any order of tokens gives right results, rare ones first give few candidates.
 BUCKETS = 1 << 16
+#: Remainders of a text that are listed at most for partners of one length.
+REMAINDERS = 256
 
 
 def ratio(a: str, b: str) -> float:
@@ -68,21 +71,50 @@ def is_short(n: int, least: float) -> bool:
     return shared_pairs(n + least * n / (2 - least), least) < 1
 
 
+def shared_letters(n: int, m: int, least: float) -> int:
+    """Characters, in order, that texts of n and m characters have in common at least, if their ratio is `least` or more."""
+    return math.ceil(least * (n + m) / 2 - 1e-9)
+
+
+def is_near(n: int, m: int, least: float) -> bool:
+    """Whether so few characters are left out of either text that all its remainders can be listed."""
+    k = shared_letters(n, m, least)
+    return k <= min(n, m) and max(math.comb(n, k), math.comb(m, k)) <= REMAINDERS
+
+
+def remainders(text: str, k: int) -> set[str]:
+    """What is left of a text with all but k characters left out, in every way."""
+    return {"".join(c) for c in combinations(text, k)}
+
+
 def _texts(df: DataFrame, key: Column, text: Column) -> DataFrame:
     rows = df.select(key.cast("string").alias("block"), text.alias("text")).filter("text <> ''").distinct()
     return rows.withColumn("id", F.md5("text"))
 
 
-def _signed(texts: DataFrame, least: float, rare: list[int]) -> DataFrame:
+def _lengths(texts: DataFrame) -> list[int]:
+    """The different lengths of texts."""
+    return [r.n for r in texts.select(F.length("text").alias("n")).distinct().collect()]
+
+
+def _signed(texts: DataFrame, least: float, rare: list[int], partners: list[int]) -> DataFrame:
+    """Signatures of texts for partners of these lengths: remainders where both texts lose few characters, else their rarest tokens."""
     longest = max((n for n in range(1, 4096) if is_short(n, least)), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ways: dict[int, tuple[set[int], bool]] = {}
         for b in batches:
             for block, text, name in zip(*(b.column(c).to_pylist() for c in ("block", "text", "id")), strict=True):
-                found = []
-                if not is_short(len(text), least):
+                n = len(text)
+                if n not in ways:
+                    able = [m for m in partners if 2 * min(n, m) >= least * (n + m) - 1e-9]
+                    near = {m for m in able if is_near(n, m, least)}
+                    ways[n] = ({shared_letters(n, m, least) for m in near}, len(near) < len(able))
+                sizes, far = ways[n]
+                found = [f"0{x}" for k in sizes for x in remainders(text, k)]
+                if far and not is_short(len(text), least):
                     found += [f"2{t}" for t in signature(text, least, rare, short=False)]
-                if len(text) * least <= longest * (2 - least):  # may meet a short one
+                if far and len(text) * least <= longest * (2 - least):  # may meet a short one
                     found += [f"1{t}" for t in signature(text, least, rare, short=True)]
                 n = len(found)
                 yield pa.record_batch([pa.array([block] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([len(text)] * n, pa.int32()), pa.array(found, pa.string())], ["block", "id", "size", "token"])
@@ -127,10 +159,14 @@ def _verified(least: float):
 
 
 def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(block, a_id, b_id): pairs of texts (block, text, id) in one block that share a token of their signatures and whose lengths allow the ratio."""
+    """(block, a_id, b_id): pairs of texts (block, text, id) in one block that share a token of their signatures and whose lengths allow the ratio.
+
+    Texts of which the ratio leaves few characters unmatched have a remainder in common, which few others have, however alike all names are (names
+    that differ by a number); they are listed for lengths that occur on the other side.
+    """
     rare = _rarity(a.unionByName(b).distinct())
-    x = _signed(a, least, rare).withColumnsRenamed({"id": "a_id", "size": "a_size"})
-    y = _signed(b, least, rare).withColumnsRenamed({"id": "b_id", "size": "b_size"})
+    x = _signed(a, least, rare, _lengths(b)).withColumnsRenamed({"id": "a_id", "size": "a_size"})
+    y = _signed(b, least, rare, _lengths(a)).withColumnsRenamed({"id": "b_id", "size": "b_size"})
     met = x.join(y, ["block", "token"]).filter(2 * F.least("a_size", "b_size") >= least * (F.col("a_size") + F.col("b_size")) - 1e-9)
     return met.select("block", "a_id", "b_id").distinct()
 

@@ -76,3 +76,12 @@ def test_few_pairs_are_compared(spark):
     met = similarity.candidates(a, a, 0.9).join(a.selectExpr("id as a_id", "text as x"), "a_id").join(a.selectExpr("id as b_id", "text as y"), "b_id")
     compared = sum(2 * (Counter(r.x) & Counter(r.y)).total() >= 0.9 * (len(r.x) + len(r.y)) - 1e-9 for r in met.select("x", "y").collect())
     assert 0 < compared < 0.01 * n * n
+
+
+def test_numbered_names_meet_few_others(spark):
+    a, b = ([(f"supplier {i:09d}",) for i in range(low, high)] for low, high in ((5000, 5400), (0, 300)))
+    left, right = spark.createDataFrame(a, "t string"), spark.createDataFrame(b, "t string")
+    got = {(r.a_text, r.b_text): r.ratio for r in similarity.similar_pairs(left, right, F.col("t"), F.col("t"), 0.9).collect()}
+    assert got == {(x, y): q for (x,) in a for (y,) in b if (q := ratio(x, y)) >= 0.9} and got
+    x, y = (kept(similarity._texts(d, F.lit(""), F.col("t")), "names") for d in (left, right))
+    assert similarity.candidates(x, y, 0.9).count() < 4 * len(got)
