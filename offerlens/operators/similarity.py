@@ -21,6 +21,8 @@ from ..tables import kept
 BUCKETS = 1 << 16
 #: Remainders of a text that are listed at most for partners of one length.
 REMAINDERS = 256
+#: Characters left out in one half of two near texts at most, ways to leave them out that are listed for a text, and its characters.
+HALF, WAYS, LONGEST = 2, 1024, 256
 
 
 def ratio(a: str, b: str) -> float:
@@ -136,20 +138,23 @@ def _rarity(texts: DataFrame) -> list[int]:
     return rare
 
 
-def _verified(least: float):
+def _verified(least: float | None):
+    """Pairs whose ratio is `least` or more; without it, what the column `least` has for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_text, b_text = b.column("a_text").to_pylist(), b.column("b_text").to_pylist()
             known, keep, ratios = {}, [], []
-            for i, (x, y) in enumerate(zip(a_text, b_text, strict=True)):
+            floors = b.column("least").to_pylist() if least is None else [least] * b.num_rows
+            for i, (x, y, floor) in enumerate(zip(a_text, b_text, floors, strict=True)):
                 if y not in known:
                     known = {y: (SequenceMatcher(None, "", y), Counter(y))}  # candidates come by the second text, mostly
                 match, letters = known[y]
-                if 2 * (Counter(x) & letters).total() < least * (len(x) + len(y)) - 1e-9:
+                if 2 * (Counter(x) & letters).total() < floor * (len(x) + len(y)) - 1e-9:
                     continue
                 match.set_seq1(x)
                 r = match.ratio()
-                if r >= least:
+                if r >= floor:
                     keep.append(i)
                     ratios.append(r)
             some = b.take(pa.array(keep, pa.int64()))
@@ -193,24 +198,154 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_text: Column, right_te
     return similar(a, b, least)
 
 
+def _without_a_word(text: Column) -> Column:
+    words = F.split(text, " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.concat_ws(" ", F.slice(words, 1, i - 1), F.slice(words, i + 1, F.size(words))))
+
+
+def guessed(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(text, least): the best ratio, `least` or more, of a text to those that have one word more or less, for texts that have such partners.
+
+    It bounds from below what the text's best partner has. Of the partners with one word more that are alike without it, one is tried.
+    """
+    x, y = (d.select("text").filter(F.length("text") <= LONGEST) for d in (a, b))
+    cut = lambda d: d.select("text", F.explode(F.array_distinct(_without_a_word(F.col("text")))).alias("key")).filter("key <> ''")
+    more = cut(x).join(y.select(F.col("text").alias("b_text")), F.col("key") == F.col("b_text"))
+    fewer = cut(y).groupBy("key").agg(F.min("text").alias("b_text")).join(x, F.col("key") == F.col("text"))
+    pairs = more.select("text", "b_text").unionByName(fewer.select("text", "b_text"))
+    tried = pairs.select(F.lit("").alias("block"), F.col("text").alias("a_text"), "b_text").mapInArrow(_verified(least), "block string, a_text string, b_text string, ratio double")
+    return tried.groupBy(F.col("a_text").alias("text")).agg(F.max("ratio").alias("least"))
+
+
+def left_out(n: int, m: int, least: float) -> int:
+    """Characters that texts of n and m characters leave unmatched at most, if their ratio is `least` or more; -1 if it can't be."""
+    k = shared_letters(n, m, least)
+    return n + m - 2 * k if k <= min(n, m) else -1
+
+
+def _needs(n: int, least: float, partners: list[int]) -> list[dict[int, int]]:
+    """By length of a partner's first half, and of its second one: how many characters are left out there at most."""
+    needs: list[dict[int, int]] = [{}, {}]
+    for m in partners:
+        u = left_out(n, m, least)
+        if u >= 0:
+            for need, h in zip(needs, (m // 2, m - m // 2), strict=True):
+                need[h] = max(need.get(h, 0), u // 2)
+    return needs
+
+
+def _ways(needs: list[dict[int, int]]) -> int:
+    """How many beginnings and ends `_left_halves` lists at most."""
+    cuts = [(h, i, j) for need in needs for h, e in need.items() for i in range(e + 1) for j in range(e + 1 - i)]
+    return sum(math.comb(max(0, h + i - j - 1), i) for h, i, j in cuts)
+
+
+def _left_halves(text: str, needs: list[dict[int, int]]) -> set[str]:
+    """What beginnings and ends of a text, each as half of a partner, may have in common with it: all but i characters, where the partner's
+    half lacks all but j of its own. The outermost character is kept: one that is left out there counts to the other half."""
+    found = set()
+    for side, (s, need) in enumerate(zip((text, text[::-1]), needs, strict=True)):
+        for h, e in need.items():
+            for i in range(e + 1):
+                for j in range(min(e - i, h) + 1):
+                    p = h + i - j
+                    if p <= len(s) and (h > j or not i):
+                        found |= {f"{side}{h} {x}{s[p - 1 : p]}" for x in remainders(s[: max(0, p - 1)], h - j - 1)} if h > j else {f"{side}{h} "}
+    return found
+
+
+def _right_halves(text: str, e: int) -> set[str]:
+    """Both halves of a text without up to e characters each."""
+    h = len(text) // 2
+    halves = ((0, text[:h]), (1, text[::-1][: len(text) - h]))
+    return {f"{side}{len(s)} {x}" for side, s in halves for j in range(min(e, len(s)) + 1) for x in remainders(s, len(s) - j)}
+
+
+def _near(guesses: DataFrame, partners: list[int]) -> DataFrame:
+    """The rows of (text, least) whose halves can be listed for partners of these lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        able: dict[tuple[int, float], bool] = {}
+        for b in batches:
+            keep = []
+            for text, least in zip(*(b.column(c).to_pylist() for c in ("text", "least")), strict=True):
+                key = (len(text), least)
+                if key not in able:
+                    needs = _needs(*key, partners)
+                    able[key] = all(e <= HALF for need in needs for e in need.values()) and _ways(needs) <= WAYS
+                keep.append(able[key])
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return guesses.mapInArrow(run, guesses.schema)
+
+
+def near_candidates(near: DataFrame, b: DataFrame, partners: list[int]) -> DataFrame:
+    """(a_text, least, b_text): the pairs of texts (text, least) and (text) that may have the ratio `least`, for those that `_near` keeps;
+    a pair may come more than once.
+
+    A pair leaves u characters unmatched at most. Cut the right text in halves: either its first half and a beginning of the left one, or
+    its second half and an end of it, leave u / 2 of them out at most. What is left of these is listed and joined; the edit distance,
+    which is no more than u, tells of the pairs that meet which remain.
+    """
+    lowest = {r.n: r.least for r in near.groupBy(F.length("text").alias("n")).agg(F.min("least").alias("least")).collect()}
+    most = {m: max((left_out(n, m, least) for n, least in lowest.items()), default=-1) // 2 for m in partners}
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, float], list[dict[int, int]]] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                rows = b.slice(i, 256)
+                texts, floors, tokens, at = rows.column("text").to_pylist(), rows.column("least").to_pylist(), [], []
+                for k, key in enumerate(zip(map(len, texts), floors, strict=True)):
+                    if key not in known:
+                        known[key] = _needs(*key, partners)
+                    found = _left_halves(texts[k], known[key])
+                    tokens += found
+                    at += [k] * len(found)
+                again = rows.take(pa.array(at, pa.int32()))
+                yield pa.record_batch([pa.array(tokens, pa.string()), again.column("text"), again.column("least")], ["token", "a_text", "least"])
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                found = _right_halves(text, most[len(text)]) if most.get(len(text), -1) >= 0 else set()
+                yield pa.record_batch([pa.array(found, pa.string()), pa.array([text] * len(found), pa.string())], ["token", "b_text"])
+
+    # few bytes list many halves: texts are dealt to tasks by their number
+    dealt = near.select("text", "least").repartition(max(near.sparkSession.sparkContext.defaultParallelism, near.count() // 10_000))
+    x = dealt.mapInArrow(left, "token string, a_text string, least double")
+    y = b.select("text").mapInArrow(right, "token string, b_text string")
+    size = "(length(a_text) + length(b_text))"
+    unmatched = f"cast({size} - 2 * ceil(least * {size} / 2 - 1e-9) as int)"
+    return x.join(y, "token").filter(f"{unmatched} >= 0 and levenshtein(a_text, b_text, {unmatched}) >= 0").select("a_text", "least", "b_text")
+
+
 def best_matches(left: DataFrame, right: DataFrame, left_text: Column, right_text: Column, right_order: Column, least: float = 0.7, stages: tuple[float, ...] = (0.9, 0.8)) -> DataFrame:
     """(text, best_text, best_order, score) of each different text of the left that has a right one with a ratio of `least` or more:
     the highest ratio, among equals the lowest order.
 
-    Equal texts meet by an equi-join. The rest looks for partners at falling thresholds: a text that has one at or above a
-    threshold has its best one there, so only texts without one go on to the next, where more has to be compared. Order
-    values are unique on the right; null and empty texts have no match.
+    Equal texts meet by an equi-join. A text that is one of the right with a word more or less has its best partner at that one's ratio or
+    above; where this leaves few characters unmatched, all partners there are found by halves (`near_candidates`). The rest looks for
+    partners at falling thresholds: a text that has one at or above a threshold has its best one there, so only texts without one go on
+    to the next, where more has to be compared. Order values are unique on the right; null and empty texts have no match.
     """
     a = kept(_texts(left, F.lit(""), left_text), "names")
     lines = kept(right.select(right_text.alias("text"), right_order.alias("at")).filter("text <> ''").groupBy("text").agg(F.min("at").alias("at")), "names")
     b = _texts(lines, F.lit(""), F.col("text"))
     found = kept(a.join(lines, "text").select("text", F.col("text").alias("best_text"), F.col("at").alias("best_order"), F.lit(1.0).alias("score")), "best")
+
+    def with_best(pairs: DataFrame) -> DataFrame:
+        top = F.min(F.struct((-F.col("ratio")).alias("minus"), "at", "b_text")).alias("top")
+        best = pairs.join(lines.withColumnRenamed("text", "b_text"), "b_text").groupBy("a_text").agg(top)
+        return kept(found.unionByName(best.select(F.col("a_text").alias("text"), F.col("top.b_text").alias("best_text"), F.col("top.at").alias("best_order"), (-F.col("top.minus")).alias("score"))), "best")
+
+    partners = _lengths(b)
+    near = kept(_near(guessed(a.join(found.select("text"), "text", "left_anti"), b, least), partners), "near")
+    met = near_candidates(near, b, partners).select(F.lit("").alias("block"), "a_text", "b_text", "least")
+    found = with_best(met.mapInArrow(_verified(None), "block string, a_text string, b_text string, ratio double"))
     for t in (*(s for s in stages if s > least), least):
         rest = kept(a.join(found.select("text"), "text", "left_anti"), "names")
         if rest.isEmpty():
             break
-        pairs = similar(rest, b, t).join(lines.withColumnRenamed("text", "b_text"), "b_text")
-        top = F.min(F.struct((-F.col("ratio")).alias("minus"), "at", "b_text")).alias("top")
-        best = pairs.groupBy("a_text").agg(top).select(F.col("a_text").alias("text"), F.col("top.b_text").alias("best_text"), F.col("top.at").alias("best_order"), (-F.col("top.minus")).alias("score"))
-        found = kept(found.unionByName(best), "best")
+        found = with_best(similar(rest, b, t))
     return found

@@ -85,3 +85,44 @@ def test_numbered_names_meet_few_others(spark):
     assert got == {(x, y): q for (x,) in a for (y,) in b if (q := ratio(x, y)) >= 0.9} and got
     x, y = (kept(similarity._texts(d, F.lit(""), F.col("t")), "names") for d in (left, right))
     assert similarity.candidates(x, y, 0.9).count() < 4 * len(got)
+
+
+def test_best_of_texts_with_a_word_more_or_less(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["red", "hot", "bolt", "gear", "насос", "dn50", "b#1", "b#12", "b#2"]
+    b = sorted({" ".join(r.choices(words, k=r.randint(2, 5))) for _ in range(150)})
+    a = sorted({f"{x} {r.randrange(30)}" for x in b} | {f"{r.randrange(9)} {x}" for x in b} | {x.split(" ", 1)[1] for x in b[::5]})
+    left, right = spark.createDataFrame([(x,) for x in a], "t string"), spark.createDataFrame([(x, -i) for i, x in enumerate(b)], "t string, i int")
+    seen = []
+    near = similarity._near
+    monkeypatch.setattr(similarity, "_near", lambda *x: seen.append(kept(near(*x), "near")) or seen[-1])
+    got = {r.text: (r.best_text, r.best_order, r.score) for r in similarity.best_matches(left, right, F.col("t"), F.col("t"), F.col("i")).collect()}
+    want = {}
+    for x in a:
+        q, i = max((ratio(x, y), i) for i, y in enumerate(b))
+        if q >= 0.7:
+            want[x] = (b[i], -i, q)
+    assert got == want
+    assert len(a) // 2 < seen[0].count() < len(a)  # some go on to the thresholds
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_offers_of_parts_need_no_threshold(spark, monkeypatch):
+    from offerlens.plans import QUERIES
+
+    monkeypatch.setattr(similarity, "similar", lambda *x: pytest.fail("met by the tokens of few words"))
+    met = []
+    near_candidates = similarity.near_candidates
+    monkeypatch.setattr(similarity, "near_candidates", lambda *x: met.append(near_candidates(*x)) or met[-1])
+    rows = spark.read.parquet(str(DATA / "part.parquet")).orderBy("p_partkey").collect()
+    lines: dict[str, int] = {}
+    for r in rows:
+        lines.setdefault(f"{r.p_name} {r.p_type} {r.p_brand}".lower(), r.p_partkey)
+    want = {}
+    for r in rows:
+        text = f"{r.p_name} {r.p_type} {r.p_brand} {r.p_size}".lower()
+        q, k, name = max((ratio(text, y), -k, y) for y, k in lines.items())
+        want[r.p_partkey] = (-k, name, round(q, 3))
+    got = {r.p_partkey: (r.matched_partkey, r.matched_name, r.match_score) for r in QUERIES["join_fuzzy_best"](spark, str(DATA)).collect()}
+    assert got == want
+    assert met[0].count() < 0.02 * len(rows) * len(lines)
