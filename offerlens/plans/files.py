@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..sources import cells
-from ..tables import new_path
+from ..tables import kept, new_path
 from .registry import Tables, query
 
 QUOTE_HEADER = ("№", "Наименование товара", "Кол-во", "Ед. изм.", "Цена за ед.", "Сумма", "Валюта")
@@ -42,13 +42,11 @@ def quote_cells(t: Tables) -> DataFrame:
     columns = [f"c{i}" for i in range(len(QUOTE_HEADER))]
     rows = lines.select(F.col("l_suppkey").alias("file"), F.lit(3).alias("pos"), F.col("l_orderkey").alias("at"), *(c.alias(n) for c, n in zip(body, columns, strict=True)))
     heads = (("Коммерческое предложение", *[""] * (len(QUOTE_HEADER) - 1)), ("",) * len(QUOTE_HEADER), QUOTE_HEADER)
+    top = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(0).cast("long").alias("at"), *(F.lit(x).alias(n) for x, n in zip(head, columns, strict=True))) for i, head in enumerate(heads)))
     suppliers = t.lineitem.select(F.col("l_suppkey").alias("file")).distinct()
-    for i, head in enumerate(heads):
-        rows = rows.unionByName(suppliers.select("file", F.lit(i).alias("pos"), F.lit(0).cast("long").alias("at"), *(F.lit(x).alias(n) for x, n in zip(head, columns, strict=True))))
     path = new_path(t.spark, "quotes")
-    for k, (sign, encoding) in enumerate(((",", "UTF-8"), (";", "windows-1251"), ("\t", "UTF-8"))):
-        cells.write_files(rows.filter(F.col("file") % 3 == k), path, "file", ["pos", "at"], sign, encoding)
-    return cells.read_cells(t.spark, path)
+    cells.write_files(rows.unionByName(suppliers.select("file", F.inline(top))), path, "file", ["pos", "at"], ((",", "UTF-8"), (";", "windows-1251"), ("\t", "UTF-8")))
+    return cells.read_cells(t.spark, path, "*.txt")
 
 
 @query("select l_suppkey supplier, p_name || ' ' || l_orderkey || '-' || l_linenumber as name, l_quantity::int::varchar quantity, case l_suppkey % 3 when 1 then 'cp1251' else 'utf-8-sig' end encoding from lineitem join part on l_partkey = p_partkey")
@@ -69,7 +67,7 @@ def header_row_detect(t: Tables) -> DataFrame:
  select supplier, name, quantity, 'шт' unit, case when odd then p else s / quantity end unit_price, case when odd then p * quantity else s end total_price, case supplier % 3 when 1 then 'RUB' else 'USD' end currency, 0.95::double confidence from l""")
 def scan_spreadsheet_multisheet(t: Tables) -> DataFrame:
     """Items of the quotes: names, quantities, prices in any notation, a missing price or total from the other."""
-    c = quote_cells(t)
+    c = kept(quote_cells(t), "quote-cells")  # files are read once, for headers and items
     found = cells.items(c, cells.header_rows(c))
     return found.select(of_file().alias("supplier"), "name", "quantity", "unit", "unit_price", "total_price", "currency", "confidence")
 
@@ -87,8 +85,8 @@ def vendor_rows(t: Tables) -> DataFrame:
     rows = s.select(F.col("s_nationkey").alias("file"), F.lit(1).alias("pos"), key.alias("at"), *(c.alias(n) for c, n in zip(body.values(), columns, strict=True)))
     head = s.select(F.col("s_nationkey").alias("file")).distinct().select("file", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("at"), *(F.lit(x).alias(n) for x, n in zip(body, columns, strict=True)))
     path = new_path(t.spark, "vendors")
-    cells.write_files(head.unionByName(rows), path, "file", ["pos", "at"], ";", "windows-1251")
-    return cells.records(cells.read_cells(t.spark, path), VENDOR_ALIASES)
+    cells.write_files(head.unionByName(rows), path, "file", ["pos", "at"], ((";", "windows-1251"),))
+    return cells.records(cells.read_cells(t.spark, path, "*.txt"), VENDOR_ALIASES)
 
 
 VENDORS = """v as (select s_suppkey, s_nationkey file, row_number() over (partition by s_nationkey order by s_suppkey) + 1 as row, case when s_suppkey % 11 <> 3 then s_name end as legal, case when s_suppkey % 5 <> 0 then (7700000000 + s_suppkey % 40)::varchar end inn,

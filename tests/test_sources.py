@@ -72,3 +72,27 @@ def test_vendor_rows(spark):
     assert (a.key, a.action, a.website, a.email, a.phone) == ("7701", "created", "https://shop.example/a", "a@b.ru", "+7 495 123-45-67")
     assert got["f", 3].key.startswith("NOINN-") and got["f", 3].synthetic and got["f", 3].legal_name == "Б"
     assert (got["f", 4].action, got["g", 2].action, got["g", 2].phone) == ("skipped", "updated", "12")
+
+
+def test_files_of_all_dialects_in_one_pass(spark, tmp_path):
+    texts = ["plain", 'a "quote"', "a,b;c\td", " spaced ", "", "Цена №1", "two\nlines"]
+    rows = [(f, i, x, y) for f in range(5) for i, (x, y) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))] + [(1, 99, "末", "x")]
+    df = spark.createDataFrame(rows, "file long, pos int, a string, b string").repartition(3)
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    cells.write_files(df, str(tmp_path / "out"), "file", ["pos"], ((",", "UTF-8"), (";", "windows-1251"), ("\t", "UTF-8")))
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+    c = cells.read_cells(spark, str(tmp_path / "out"), "*.txt").withColumn("file", F.regexp_extract("file", "file=([0-9]+)", 1).cast("long"))
+    got = {f: [tuple(r.cells) for r in c.filter(F.col("file") == f).orderBy("row").collect()] for f in range(5)}
+    want = {f: [(x, y) for g, _, x, y in rows if g == f] for f in range(5)}
+    want[1][-1] = ("?", "x")  # CP1251 has no such sign
+    assert got == want
+    assert {(r.file, r.encoding) for r in c.select("file", "encoding").distinct().collect()} == {(f, "cp1251" if f in (1, 4) else "utf-8-sig") for f in range(5)}
+
+
+def test_quotes_are_read_once(spark, monkeypatch):
+    from offerlens.plans import QUERIES
+
+    seen, header_rows = [], cells.header_rows
+    monkeypatch.setattr(cells, "header_rows", lambda c: seen.append(c) or header_rows(c))
+    assert QUERIES["scan_spreadsheet_multisheet"](spark, "/root/testdata/sf0.001").count() > 0
+    assert all(f.endswith(".parquet") for f in seen[0].inputFiles())
