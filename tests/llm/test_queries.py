@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures import DATA, awkward, clashing, roots, rows_of, words
 from pyspark.sql import functions as F
@@ -291,6 +294,38 @@ def test_token_files(docs, spark, tmp_path):
     assert rows_of(token_files.read_tokens(spark, str(tmp_path / "ids")).drop("ids"), "*") == sorted(want, key=repr)
 
 
+def test_word_encoder_meets_pieces_again(monkeypatch):
+    """Words of known letters, digits and signs take no more of the library's work; any text has the library's ids."""
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    given = []
+    for name in ("_joined", "_singly"):
+        monkeypatch.setattr(encoder, name, lambda x, f=getattr(encoder, name): given.extend(x) or f(x))
+    texts = [f"Part-{i}/rev{i % 7}: ÉTÉ{i}! id=\"{i:x}f\"" for i in range(2000)]
+    for text, ids in zip(texts, encoder(pa.array(texts)), strict=True):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(given) == len(set(given)) < 200
+
+
+def test_word_encoder_forgets_without_a_trace():
+    encoder, rng = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), remembered=20), np.random.default_rng(3)
+    parts = [*"aZéÉß×÷µªºÿŸ7½٣-.<|'’=~\0\x1c\x7f\x85\xa0 \n\t\u0301\u2028日本𝕏İſK", "'s", "'LL", "<|endoftext|>", "the", "  ", "12", "Ã¿", "e\u0301", ""]
+    texts = [None if i % 50 == 7 else "".join(rng.choice(parts, rng.integers(0, 12))) for i in range(3000)] + ["日本" * 4000, "x" * 5000, "", None]
+    for i in range(0, len(texts), 60):
+        some = pa.array(["not read", *texts[i : i + 60]], pa.string())[1:]
+        for text, ids in zip(texts[i : i + 60], encoder(some), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_word_encoder_of_a_tokenizer_with_cases(tmp_path):
+    settings = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    (tmp_path / "cased.json").write_text(json.dumps(settings | {"normalizer": None}))
+    encoder = token_files.WordEncoder(str(tmp_path / "cased.json"))
+    texts = ["É é Été", "The the THE Straße-7", "", None, "Ü", "it's É'"]
+    for some in (texts[2:4], texts):
+        for text, ids in zip(some, encoder(pa.array(some)), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(5)
     parts = [np.zeros(5000), rng.integers(0, 2, 3000), rng.integers(0, 1 << 16, 4000), np.array([2**60, 2**64 - 1, 0, 1], np.uint64), 2.0 ** rng.integers(0, 60, 2000), []]
