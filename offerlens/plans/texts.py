@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, strings, vectors
-from ..operators import retrieval
+from ..operators import hashing, retrieval
 from .offers import TRANSLIT
 from .registry import Tables, query
 
@@ -99,17 +99,7 @@ def json_pick_first(t: Tables) -> DataFrame:
  select doc_id, bucket, round(weight::double / norm, 6) + 0.0::double weight from g join n using (doc_id) where weight <> 0""")
 def embed_hashing(t: Tables) -> DataFrame:
     """Signed feature hashing of words in any script and of their first six letters, at a length of one; sparse: buckets that are not 0."""
-    w = F.col("w")
-    # of the hash in hex, digits 7 and 8 give the bucket (its first 32 bits modulo 256) and digit 10 the sign; a variable, so it is worked out once
-    sign = lambda h: F.when(F.substring(h, 10, 1).isin(*"02468ace"), 1).otherwise(-1)
-    of = lambda h, weight: F.struct(F.conv(F.substring(h, 7, 2), 16, 10).cast("long").alias("bucket"), (sign(h) * weight).cast("decimal(18,6)").alias("weight"))
-    feature = lambda c, weight: F.get(F.transform(F.array(F.sha2(c, 256)), lambda h: of(h, weight)), 0)
-    tok = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_-]+"), 0)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    both = F.array_compact(F.array(feature(w, 1 + F.least(F.length(w), F.lit(24)) / 24.0), F.when(F.length(w) >= 6, feature(F.substring(w, 1, 6), F.lit(0.5)))))
-    parts = tok.select("doc_id", "n", F.inline_outer(both)).groupBy("doc_id", "bucket").agg(F.sum(F.col("weight") * F.col("n")).cast("double").alias("weight"))
-    vector = parts.filter("weight <> 0").groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))  # 256 entries at most
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"]))
-    return vector.select("doc_id", norm.alias("norm"), F.inline("v")).select("doc_id", "bucket", F.round(F.col("weight") / F.col("norm"), 6).alias("weight"))
+    return hashing.hashed_vectors(t.documents, "doc_id", "text")
 
 
 @query("""with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 100 = 0), s as (select qid, vec_id, list_cosine_similarity(q, embedding::double[]) c from q cross join embeddings where vec_id <> qid)
